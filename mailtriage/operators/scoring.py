@@ -111,10 +111,20 @@ def _answer(score: Scorer, request: str | None) -> tuple[str | None, str | None]
         return None, None
 
 
-def response_text(body: Column) -> Column:
-    """``content[0].text`` of a response body; null unless it is a JSON string."""
-    found = F.try_variant_get(F.try_parse_json(body), "$.content[0].text", "variant")
-    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
+def response_value(body: Column) -> Column:
+    """``content[0].text`` of a response body as a variant; null when the body is not such JSON."""
+    return F.try_variant_get(F.try_parse_json(body), "$.content[0].text", "variant")
+
+
+def string_value(value: Column) -> Column:
+    """The string in a variant; null for values of any other JSON type."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def response_texts(scored: DataFrame) -> DataFrame:
+    """Adds ``text``, the model's answer, to rows with a response ``body``."""
+    valued = scored.withColumn("_value", response_value(F.col("body")))
+    return valued.withColumn("text", string_value(F.col("_value"))).drop("_value")
 
 
 def scoring_error(error_code: Column, text: Column) -> Column:

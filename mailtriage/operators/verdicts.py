@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailtriage.functions import verdict as v
-from mailtriage.operators.scoring import response_text, scoring_error
+from mailtriage.operators.scoring import response_texts, scoring_error
 
 
 def with_sections(answers: DataFrame, text_col: str = "text") -> DataFrame:
@@ -42,9 +42,8 @@ def judge(scored: DataFrame, text_col: str = "text") -> DataFrame:
 def judge_responses(scored: DataFrame) -> DataFrame:
     """From ``body`` and ``error_code`` to ``is_phishing``, ``label``, ``analysis`` and ``score_error``.
     A message without a usable answer counts as not phishing and says so in its analysis."""
-    answers = scored.withColumn("text", response_text(F.col("body"))).withColumn(
-        "score_error", scoring_error(F.col("error_code"), F.col("text"))
-    )
+    error = scoring_error(F.col("error_code"), F.col("text"))
+    answers = response_texts(scored).withColumn("score_error", error)
     answers = answers.withColumn("text", F.when(F.col("score_error").isNull(), F.col("text")))
     return (
         judge(answers)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mailtriage import constants as k
 
 # What a consumer needs of a notification; other fields are skipped while parsing.
-LOCATION_SCHEMA = T.StructType.fromDDL(
+LOCATION_SCHEMA = (
     "Records ARRAY<STRUCT<s3: STRUCT<bucket: STRUCT<name: STRING>, object: STRUCT<key: STRING>>>>"
 )
 
