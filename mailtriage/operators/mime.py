@@ -8,6 +8,7 @@ decided afterwards by native expressions (see ``selection``). A mail that cannot
 from __future__ import annotations
 
 import email
+import functools
 import sys
 from collections.abc import Iterator, Sequence
 from email import policy
@@ -59,6 +60,8 @@ _PARTS_ARROW = pa.list_(
     )
 )
 _FLUSH_BYTES = 32 << 20
+_CACHED_HEADERS = 4096
+_CACHED_HEADER_LENGTH = 512
 
 
 def parse_mail(
@@ -82,12 +85,13 @@ def parse_mail(
     schema = T.StructType([*(picked.schema[name] for name in keep), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = _caching_policy()
         for batch in batches:
             content = batch.column(len(keep))
             start, pending, size = 0, [], 0
             for row in range(batch.num_rows):
                 raw = content[row].as_py()
-                pending.append(_read_mail(raw, with_source))
+                pending.append(_read_mail(raw, rules, with_source))
                 size += len(raw or b"")
                 if size >= _FLUSH_BYTES or row + 1 == batch.num_rows:
                     kept = [batch.column(i).slice(start, len(pending)) for i in range(len(keep))]
@@ -116,9 +120,23 @@ def _to_batch(names: list[str], kept: list[pa.Array], rows: list[tuple]) -> pa.R
     return pa.RecordBatch.from_arrays(arrays, [*names, "parts", "to_addrs", "source", "error"])
 
 
-def _read_mail(raw: bytes, with_source: bool) -> tuple:
+def _caching_policy() -> policy.EmailPolicy:
+    """The default policy, remembering parsed headers. The parser looks at a header again each time it
+    is asked about a part, and most mails carry the same few MIME headers."""
+    parsed = functools.lru_cache(maxsize=_CACHED_HEADERS)(policy.default.header_fetch_parse)
+
+    class CachingPolicy(policy.EmailPolicy):
+        def header_fetch_parse(self, name: str, value: str) -> str:
+            if len(value) > _CACHED_HEADER_LENGTH:
+                return super().header_fetch_parse(name, value)
+            return parsed(name, value)
+
+    return CachingPolicy()
+
+
+def _read_mail(raw: bytes, rules: policy.EmailPolicy, with_source: bool) -> tuple:
     try:
-        outer = email.message_from_bytes(raw, policy=policy.default)
+        outer = email.message_from_bytes(raw, policy=rules)
         outer.get("From")
         parts = list(_part_rows(outer, with_source))
         return parts, _addresses(outer), _whole_source(outer) if with_source else None, None
@@ -163,7 +181,7 @@ def _part_rows(outer: EmailMessage, with_source: bool) -> Iterator[dict]:
             row["filename"] = _sendable(part.get_filename())
             if kind == "application/octet-stream" and (row["filename"] or "").endswith(".eml"):
                 attached = part.get_payload(decode=True)
-                inner, embedded = [email.message_from_bytes(attached, policy=policy.default)], True
+                inner, embedded = [email.message_from_bytes(attached, policy=part.policy)], True
                 in_eml = True
             if is_root or kind.startswith("text/"):
                 row["raw_text"] = _utf8_text(part)

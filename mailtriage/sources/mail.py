@@ -68,9 +68,10 @@ def listing(mail: DataFrame) -> DataFrame:
 
 
 def spread_small_scan(scan: DataFrame, key: str) -> DataFrame:
-    """A plain file scan with fewer splits than the cluster has cores, spread by ``key`` so that the
-    CPU-bound work after it runs everywhere. A scan with enough splits is returned as it is: large
-    inputs are never shuffled for this. Looks at the file listing only; runs no job."""
-    if scan.rdd.getNumPartitions() >= scan.sparkSession.sparkContext.defaultParallelism:
+    """A plain file scan with fewer splits than the cluster has cores, spread over all cores by ``key``
+    for the CPU-bound work that follows. A scan with enough splits is returned as it is: large inputs
+    are never shuffled for this. Looks at the file listing only; runs no job."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
         return scan
-    return scan.repartition(F.col(key))
+    return scan.repartition(cores, F.col(key))

@@ -137,7 +137,7 @@ SECTIONS = (
     ANSWERS
     + rf""",
     lines AS (
-        SELECT msg_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM flags
+        SELECT msg_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM flags
     ),
     marked AS (
         SELECT *, regexp_matches(line, '\[SECTION\](.*?)\[/SECTION\]') AS is_header,
@@ -145,7 +145,7 @@ SECTIONS = (
         FROM lines
     ),
     numbered AS (
-        SELECT *, sum(is_header::INT) OVER (PARTITION BY msg_id ORDER BY at) AS header_no FROM marked
+        SELECT *, sum(is_header::INT) OVER (PARTITION BY msg_id ORDER BY line_no) AS header_no FROM marked
     ),
     last_headers AS (
         SELECT msg_id, name AS section, max(header_no) AS header_no
@@ -153,7 +153,7 @@ SECTIONS = (
     ),
     items AS (
         SELECT n.msg_id, h.section,
-               row_number() OVER (PARTITION BY n.msg_id, h.section ORDER BY n.at) AS pos,
+               row_number() OVER (PARTITION BY n.msg_id, h.section ORDER BY n.line_no) AS pos,
                {item("n.line")} AS item
         FROM numbered n JOIN last_headers h USING (msg_id, header_no)
         WHERE NOT n.is_header AND trim(n.line, {SPACE}) <> ''

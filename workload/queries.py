@@ -31,7 +31,7 @@ def email_scan(spark: SparkSession, sf: str) -> DataFrame:
 def triage_stream_query(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as a file stream, triaged batch by batch into tables; the written decisions."""
     docs = s.table(spark, sf, "documents")
-    arrivals = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parquet")
+    arrivals = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents*.parquet")
     out = workspace(spark, "triage-stream")
     triage_stream(
         s.compose_mail(arrivals),
