@@ -32,7 +32,8 @@ def verdict_label(answer: Column) -> Column:
 
 
 def answer_lines(answer: Column) -> Column:
-    return F.split(strip(answer), "\n", -1)
+    """The lines of an answer, each stripped; no rule looks at white space around a line."""
+    return F.transform(F.split(strip(answer), "\n", -1), strip)
 
 
 def section_headers(lines: Column) -> Column:
@@ -49,12 +50,19 @@ def section_headers(lines: Column) -> Column:
 
 
 def bold(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?s)\*\*(.*?)\*\*", "<strong>$1</strong>")
+    marked = F.regexp_replace(line, r"(?s)\*\*(.*?)\*\*", "<strong>$1</strong>")
+    return F.when(F.contains(line, F.lit("**")), marked).otherwise(line)
+
+
+def without_bullet(line: Column) -> Column:
+    """A stripped line without one leading bullet and the white space after it."""
+    rest = F.ltrim(F.substring(line, F.lit(2), F.length(line)), F.lit(k.WHITESPACE))
+    return F.when(F.left(line, F.lit(1)).isin("•", "*", "-"), rest).otherwise(line)
 
 
 def item_html(line: Column) -> Column:
-    """One answer line as item text: stripped, one leading bullet removed, ``**x**`` made bold."""
-    return bold(F.regexp_replace(strip(line), rf"\A[•*\-][{k.WS}]*", ""))
+    """One stripped answer line as item text: one leading bullet removed, ``**x**`` made bold."""
+    return bold(without_bullet(line))
 
 
 def sections(lines: Column, headers: Column) -> Column:
@@ -62,7 +70,7 @@ def sections(lines: Column, headers: Column) -> Column:
     header of any name; blank lines and lines that hold a verdict word are not items."""
 
     def is_item(line: Column) -> Column:
-        return (strip(line) != "") & ~F.contains(line, F.lit(k.PHISHING)) & ~F.contains(line, F.lit(k.CLEAN))
+        return (line != "") & ~F.contains(line, F.lit(k.PHISHING)) & ~F.contains(line, F.lit(k.CLEAN))
 
     def section(header: Column, nth: Column) -> Column:
         following = F.get(headers, nth + 1)["at"]

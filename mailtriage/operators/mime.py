@@ -169,13 +169,12 @@ def _part_rows(outer: EmailMessage, with_source: bool) -> Iterator[dict]:
             row.update(headers)
             preferred.add(id(body))
         row["body_pref"] = id(part) in preferred
-        if row["body_pref"] or kind == "text/plain":
-            row.update(_declared_text(part))
+        may_be_body = row["body_pref"] or kind == "text/plain"
         inner: list[EmailMessage] = []
         embedded = False
         if kind == "message/rfc822":
             inner, embedded = [part.get_payload(0)], True
-        elif part.is_multipart():
+        elif row["is_multipart"]:
             inner = part.get_payload()
         else:
             row["filename"] = _sendable(part.get_filename())
@@ -184,7 +183,7 @@ def _part_rows(outer: EmailMessage, with_source: bool) -> Iterator[dict]:
                 inner, embedded = [email.message_from_bytes(attached, policy=part.policy)], True
                 in_eml = True
             if is_root or kind.startswith("text/"):
-                row["raw_text"] = _utf8_text(part)
+                row.update(_texts(part, may_be_body))
         if with_source and "message/rfc822" in kind:
             row["source"] = _source(part)
         yield row
@@ -203,16 +202,21 @@ def _root_columns(message: EmailMessage) -> tuple[dict, EmailMessage | None]:
         return {**columns, "root_error": _sendable(str(problem))}, None
 
 
-def _declared_text(part: EmailMessage) -> dict:
+def _texts(part: EmailMessage, declared: bool) -> dict:
+    """The undivided part's ``raw_text`` and, if ``declared``, its ``text`` by the declared charset."""
+    data = part.get_payload(decode=True)
+    raw = data.decode(errors="replace")
+    if not declared:
+        return {"raw_text": raw}
     try:
-        return {"text": _sendable(part.get_content())}
+        charset = part.get_param("charset", "ASCII")
+        same = charset in ("utf-8", "UTF-8")
+        return {
+            "raw_text": raw,
+            "text": raw if same else _sendable(data.decode(charset, errors="replace")),
+        }
     except Exception as problem:
-        return {"text_error": _sendable(str(problem))}
-
-
-def _utf8_text(part: EmailMessage) -> str:
-    data = part.get_payload(decode=True)
-    return data.decode(errors="replace") if isinstance(data, bytes) else _sendable(str(data))
+        return {"raw_text": raw, "text_error": _sendable(str(problem))}
 
 
 def _whole_source(outer: EmailMessage) -> str | None:

@@ -231,7 +231,7 @@ def section_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def bold_items(spark: SparkSession, sf: str) -> DataFrame:
     lines = s.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.select("doc_id", "pos", v.item_html(F.col("line")).alias("item"))
+    return lines.select("doc_id", "pos", v.item_html(t.strip(F.col("line"))).alias("item"))
 
 
 def section_html(spark: SparkSession, sf: str) -> DataFrame:
