@@ -22,11 +22,12 @@ Scorer = Callable[[str], str]
 
 
 class ServiceError(Exception):
-    """Raised by a scorer when the model service refuses a request; carries the service's error code."""
+    """For scorers to raise when the model service refuses a request. It is told from other failures by
+    its ``service_code``, so an exception class of the scorer's own with that attribute will do as well."""
 
-    def __init__(self, code: str) -> None:
-        super().__init__(code)
-        self.code = code
+    def __init__(self, service_code: str) -> None:
+        super().__init__(service_code)
+        self.service_code = service_code
 
 
 def prompt(envelope: Column, run_date: Column, cfg: TriageConfig) -> Column:
@@ -105,10 +106,8 @@ def _answer(score: Scorer, request: str | None) -> tuple[str | None, str | None]
         return None, None
     try:
         return score(request), None
-    except ServiceError as refused:
-        return None, refused.code
-    except Exception:  # as with a missing response: reported by the verdict step
-        return None, None
+    except Exception as problem:  # without a code it counts like a missing response
+        return None, getattr(problem, "service_code", None)
 
 
 def response_value(body: Column) -> Column:

@@ -1,0 +1,154 @@
+from __future__ import annotations
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from mailtriage import TriageConfig
+from mailtriage.operators.report import build_status
+from mailtriage.plans.triage import replay, score_requests, triage
+from mailtriage.sources.mail import scan_mail, stream_mail
+from mailtriage.streaming.triage_stream import read_output, triage_stream, write_outputs
+
+CFG = TriageConfig(catch_all="all@example.com", ticket_token="t", ticket_owner="o", ticket_repo="r")
+
+
+def now():
+    return F.lit(dt.datetime(2024, 3, 5, 6, 7, 8))
+
+
+
+def today():
+    return F.lit(dt.date(2024, 3, 5))
+
+
+def mail_of(i):
+    sender = "" if i % 3 == 0 else f"From: u{i}@x.org\n"
+    kind = 'Content-Type: multipart/mixed; boundary="b"\n' if i % 5 == 4 else ""
+    body = "--b\nContent-Type: text/plain; charset=bogus-1\n\nx\n--b--\n" if i % 5 == 4 else f"call 555-123-{i:04d}"
+    return f"{sender}Subject: s{i}\n{kind}\n{body}"
+
+
+def answer_of(i):
+    verdict = "PHISHING\n[SECTION]RED FLAGS[/SECTION]\n- why" if i % 2 else "CLEAN"
+    return json.dumps({"content": [{"text": verdict}]})
+
+
+@pytest.fixture(scope="module")
+def store(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("store")
+    for i in range(9):
+        (folder / f"m{i}.eml").write_text(mail_of(i))
+    return folder
+
+
+@pytest.fixture(scope="module")
+def responses(spark):
+    return spark.createDataFrame([(f"m{i}.eml", answer_of(i), None) for i in range(9)], "msg_id string, body string, error_code string")
+
+
+@pytest.fixture(scope="module")
+def batch(spark, store, responses):
+    mail = scan_mail(spark, str(store), root=str(store))
+    return sorted(tuple(r) for r in triage(mail, CFG, responses).drop("error").collect())
+
+
+def test_batch(batch):
+    rows = {r[0]: r for r in batch}
+    assert len(rows) == 9
+    assert rows["m1.eml"][1:5] == ("u1@x.org", "[PHISHING Detected] s1", True, "PHISHING")
+    assert rows["m0.eml"][1:5] == ("all@example.com", "[CLEAN] s0", False, "CLEAN")
+    assert rows["m0.eml"][-1] == "\nFrom: N/A\nTo: N/A\nSubject: s0\n\ncall [PHONE]\n"
+    assert rows["m1.eml"][-1] is None
+    assert rows["m4.eml"][1:] == (None,) * 7
+
+
+def test_scorer_and_table_agree(spark, store, batch):
+    answers = [answer_of(i) for i in range(9)]
+
+    def make():
+        def score(request):
+            prompt = json.loads(request)["messages"][0]["content"]
+            return answers[int(prompt.split("Subject: s")[1].split("\n")[0])]
+
+        return score
+
+    mail = scan_mail(spark, str(store), root=str(store))
+    decided = triage(mail, CFG, make_scorer=make, run_date=today())
+    assert "Exchange" not in decided._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in decided.drop("error").collect()) == batch
+    with pytest.raises(ValueError):
+        triage(mail, CFG)
+
+
+def test_only_mail_that_can_be_processed_is_scored(spark, store):
+    requests = score_requests(scan_mail(spark, str(store), root=str(store)), CFG, today())
+    assert sorted(r.msg_id for r in requests.collect()) == [f"m{i}.eml" for i in range(9) if i != 4]
+
+
+def test_replay(spark, store, responses):
+    asked = spark.createDataFrame([("m1.eml",), ("m4.eml",), ("m1.eml",), ("none",)], "msg_id string")
+    mail = scan_mail(spark, str(store), root=str(store))
+    rows = build_status(replay(mail, asked, CFG, responses)).orderBy("msg_id").collect()
+    assert [(r.msg_id, r.status) for r in rows] == [("m1.eml", 200), ("m4.eml", 500)]
+
+
+def test_intake_by_recipient(spark, responses):
+    mails = [("a", b"To: Scan@x.org\n\n"), ("b", b"To: other@x.org\n\n")]
+    mail = spark.createDataFrame([(i, bytearray(c)) for i, c in mails], "msg_id string, content binary")
+    cfg = TriageConfig(catch_all="c", recipients=("scan@x.org",))
+    assert [r.msg_id for r in triage(mail, cfg, responses).collect()] == ["a"]
+
+
+def test_stream_equals_batch(spark, store, responses, batch, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def run():
+        arrivals = stream_mail(spark, str(store), root=str(store), max_files=2)
+        triage_stream(arrivals, CFG, out, checkpoint, responses=lambda _: responses, run_ts=now()).awaitTermination()
+
+    def written():
+        return sorted(tuple(r) for r in read_output(spark, out, "triage").drop("error", "batch_id").collect())
+
+    run()
+    assert written() == batch
+    assert read_output(spark, out, "triage").select("batch_id").distinct().count() == 5
+    assert read_output(spark, out, "outbox").count() == 8
+    assert sorted(r.msg_id for r in read_output(spark, out, "tickets").collect()) == ["m0.eml", "m3.eml", "m6.eml"]
+    statuses = {r.msg_id: r.status for r in read_output(spark, out, "status").collect()}
+    assert statuses == {f"m{i}.eml": 500 if i == 4 else 200 for i in range(9)}
+    run()
+    assert written() == batch
+    (store / "m9.eml").write_text(mail_of(1))
+    run()
+    assert len(written()) == 10
+    with pytest.raises(ValueError):
+        read_output(spark, out, "other")
+
+
+def test_a_repeated_batch_replaces_its_output(spark, tmp_path, responses):
+    mail = spark.createDataFrame([("m1.eml", bytearray(mail_of(1).encode()))], "msg_id string, content binary")
+    out = str(tmp_path)
+    for _ in range(2):
+        write_outputs(triage(mail, CFG, responses), CFG, out, 3, now())
+    for table in ("triage", "outbox", "status"):
+        assert [(r.msg_id, r.batch_id) for r in read_output(spark, out, table).collect()] == [("m1.eml", 3)]
+
+
+def test_bodies_are_not_shuffled(spark, tmp_path):
+    """With both sides too big to broadcast, the join still moves no body or envelope."""
+    rows = spark.range(10).selectExpr("id as msg_id", "cast('Subject: x' as binary) as content")
+    rows.write.parquet(str(tmp_path / "mail"))
+    rows.selectExpr("msg_id", "'' as body", "'' as error_code").write.parquet(str(tmp_path / "responses"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        decided = triage(spark.read.parquet(str(tmp_path / "mail")), CFG, spark.read.parquet(str(tmp_path / "responses")))
+        plan = decided._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("MapInArrow") == 1
+    moved = decided._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].splitlines()[1]
+    assert "ticket_text" in moved and "envelope" not in moved.split("Project")[1].split(" AS ")[-1]

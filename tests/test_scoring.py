@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import datetime as dt
+import json
+
+from pyspark.sql import functions as F
+
+from mailtriage import TriageConfig
+from mailtriage.operators import scoring as sc
+from mailtriage.operators.verdicts import judge_responses
+
+CFG = TriageConfig(catch_all="all@example.com")
+
+
+def test_prompt_and_request(spark):
+    mail = spark.createDataFrame([(1, 'say "hé"\n'), (2, None)], "msg_id int, envelope string")
+    prompts = sc.build_prompts(mail, F.lit(dt.date(2024, 3, 5)), CFG)
+    rows = {r.msg_id: r for r in sc.build_requests(prompts, CFG).collect()}
+    assert "Date of review: March 05, 2024\n" in rows[1].prompt
+    assert rows[1].prompt.endswith('\n\nsay "hé"\n\n')
+    for part in ("[SECTION]RED FLAGS[/SECTION]", "[SECTION]CLEAN INDICATORS[/SECTION]", "5-8 bullets"):
+        assert part in rows[1].prompt
+    assert json.loads(rows[1].request) == {
+        "anthropic_version": "bedrock-2023-05-31",
+        "max_tokens": 2000,
+        "temperature": 0.7,
+        "messages": [{"role": "user", "content": rows[1].prompt}],
+    }
+    assert rows[2].request is None
+
+
+def test_own_template(spark):
+    cfg = TriageConfig(catch_all="c", prompt_template="{mail} of {today} {other}")
+    mail = spark.createDataFrame([("m",)], "envelope string")
+    assert sc.build_prompts(mail, F.lit(dt.date(2024, 1, 2)), cfg).first().prompt == "m of January 02, 2024 {other}"
+
+
+def test_response_text(spark):
+    bodies = {
+        '{"content":[{"type":"text","text":"a\\nb"}]}': "a\nb",
+        '{"content":[{"text":""},{"text":"x"}]}': "",
+        '{"content":[{"text":5}]}': None,
+        '{"content":[{"text":null}]}': None,
+        '{"content":[]}': None,
+        '{"content":{"text":"a"}}': None,
+        "{'content':[{'text':'a'}]}": None,
+        "{bad": None,
+    }
+    rows = spark.createDataFrame([(b,) for b in bodies], "body string")
+    assert {r.body: r.text for r in sc.response_texts(rows).collect()} == bodies
+
+
+def test_errors_read_as_not_phishing(spark):
+    rows = [(1, None, "ThrottlingException"), (2, "{bad", None), (3, None, None), (4, '{"content":[{"text":"PHISHING"}]}', None)]
+    got = {r.msg_id: r for r in judge_responses(spark.createDataFrame(rows, "msg_id int, body string, error_code string")).collect()}
+    assert got[1].analysis == got[1].score_error == "Error: Unable to process the email content. (ThrottlingException)"
+    unexpected = "Error: Unexpected error occurred during email classification."
+    assert got[2].analysis == got[3].score_error == unexpected
+    assert [got[i].is_phishing for i in (1, 2, 3, 4)] == [False, False, False, True]
+    assert got[4].score_error is None and got[4].label == "PHISHING"
+
+
+def test_repeated_responses_give_one_answer(spark):
+    rows = [(1, None, "Throttled"), (1, "b", None), (1, "a", None), (2, None, "Throttled")] + [(3, "hot", None)] * 500
+    responses = spark.createDataFrame(rows, "msg_id int, body string, error_code string").repartition(4)
+    mail = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "msg_id int")
+    got = sorted(tuple(r) for r in sc.join_responses(mail, responses).collect())
+    assert got == [(1, "b", None), (2, None, "Throttled"), (3, "hot", None), (4, None, None)]
+
+
+def test_scorer_is_made_once_per_task(spark, tmp_path):
+    log = str(tmp_path)
+
+    def make():
+        import tempfile
+
+        tempfile.mkstemp(dir=log)
+
+        def score(request):
+            if request == "refuse":
+                raise sc.ServiceError("AccessDenied")
+            if request == "fail":
+                raise OSError("gone")
+            return request.upper()
+
+        return score
+
+    rows = [(i, f"r{i}") for i in range(100)] + [(100, "refuse"), (101, "fail"), (102, None)]
+    requests = spark.createDataFrame(rows, "msg_id int, request string").repartition(3)
+    got = {r.msg_id: (r.body, r.error_code) for r in sc.score_with(requests, make).collect()}
+    assert got == {
+        **{i: (f"R{i}", None) for i in range(100)},
+        100: (None, "AccessDenied"),
+        101: (None, None),
+        102: (None, None),
+    }
+    assert len(list(tmp_path.iterdir())) == 3
