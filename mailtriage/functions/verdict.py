@@ -80,7 +80,7 @@ def sections(lines: Column, headers: Column) -> Column:
         repeated = F.exists(later, lambda h: h["name"] == header["name"])
         return F.struct(
             header["name"].alias("name"),
-            F.transform(F.filter(body, is_item), item_html).alias("items"),
+            F.transform(F.transform(F.filter(body, is_item), without_bullet), bold).alias("items"),
             repeated.alias("repeated"),
         )
 

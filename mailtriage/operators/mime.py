@@ -177,13 +177,14 @@ def _part_rows(outer: EmailMessage, with_source: bool) -> Iterator[dict]:
         elif row["is_multipart"]:
             inner = part.get_payload()
         else:
-            row["filename"] = _sendable(part.get_filename())
-            if kind == "application/octet-stream" and (row["filename"] or "").endswith(".eml"):
+            can_embed = kind == "application/octet-stream"
+            row["filename"] = _sendable(part.get_filename() if can_embed else _filename(part))
+            if can_embed and (row["filename"] or "").endswith(".eml"):
                 attached = part.get_payload(decode=True)
                 inner, embedded = [email.message_from_bytes(attached, policy=part.policy)], True
                 in_eml = True
             if is_root or kind.startswith("text/"):
-                row.update(_texts(part, may_be_body))
+                row.update(_texts(part, is_root, may_be_body))
         if with_source and "message/rfc822" in kind:
             row["source"] = _source(part)
         yield row
@@ -202,19 +203,27 @@ def _root_columns(message: EmailMessage) -> tuple[dict, EmailMessage | None]:
         return {**columns, "root_error": _sendable(str(problem))}, None
 
 
-def _texts(part: EmailMessage, declared: bool) -> dict:
+def _filename(part: EmailMessage) -> str | None:
+    try:
+        return part.get_filename()
+    except Exception:  # no rule looks at the name of such a part
+        return None
+
+
+def _texts(part: EmailMessage, is_root: bool, declared: bool) -> dict:
     """The undivided part's ``raw_text`` and, if ``declared``, its ``text`` by the declared charset."""
-    data = part.get_payload(decode=True)
+    try:
+        data = part.get_payload(decode=True)
+    except Exception as problem:
+        return {"root_error" if is_root else "text_error": _sendable(str(problem))}
     raw = data.decode(errors="replace")
     if not declared:
         return {"raw_text": raw}
     try:
         charset = part.get_param("charset", "ASCII")
         same = charset in ("utf-8", "UTF-8")
-        return {
-            "raw_text": raw,
-            "text": raw if same else _sendable(data.decode(charset, errors="replace")),
-        }
+        text = raw if same else _sendable(data.decode(charset, errors="replace"))
+        return {"raw_text": raw, "text": text}
     except Exception as problem:
         return {"raw_text": raw, "text_error": _sendable(str(problem))}
 
