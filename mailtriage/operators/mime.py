@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import email
 import functools
+import re
 import sys
 from collections.abc import Iterator, Sequence
 from email import policy
@@ -62,6 +63,15 @@ _PARTS_ARROW = pa.list_(
 _FLUSH_BYTES = 32 << 20
 _CACHED_HEADERS = 4096
 _CACHED_HEADER_LENGTH = 512
+# Header values that parsing would give back as they are (a boundary parameter: with the same meaning).
+_ADDRESS = r"[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
+_PLAIN_ADDRESS = re.compile(rf"{_ADDRESS}|[A-Za-z]+(?: [A-Za-z]+)* <{_ADDRESS}>")
+_PLAIN_HEADERS = {
+    "from": _PLAIN_ADDRESS,
+    "to": _PLAIN_ADDRESS,
+    "subject": re.compile(r"[!-<>-~]+(?: [!-<>-~]+)*"),
+    "content-type": re.compile(r"""multipart/[a-z]+;\s*boundary="[0-9A-Za-z'()+_,./:=-]+\""""),
+}
 
 
 def parse_mail(
@@ -121,12 +131,16 @@ def _to_batch(names: list[str], kept: list[pa.Array], rows: list[tuple]) -> pa.R
 
 
 def _caching_policy() -> policy.EmailPolicy:
-    """The default policy, remembering parsed headers. The parser looks at a header again each time it
-    is asked about a part, and most mails carry the same few MIME headers."""
+    """The default policy with less work: structured parsing of a header is most of the cost of a mail,
+    and the parser repeats it each time it is asked about a part. Plain values skip it, others are
+    parsed once and remembered, as most mails carry the same few MIME headers."""
     parsed = functools.lru_cache(maxsize=_CACHED_HEADERS)(policy.default.header_fetch_parse)
 
     class CachingPolicy(policy.EmailPolicy):
         def header_fetch_parse(self, name: str, value: str) -> str:
+            plain = _PLAIN_HEADERS.get(name.lower())
+            if plain is not None and plain.fullmatch(value):
+                return value
             if len(value) > _CACHED_HEADER_LENGTH:
                 return super().header_fetch_parse(name, value)
             return parsed(name, value)
@@ -243,12 +257,16 @@ def _source(part: EmailMessage) -> str | None:
 
 
 def _addresses(message: EmailMessage) -> list[str]:
+    found: list[str] = []
     try:
-        return [
-            _sendable(a.addr_spec.lower()) for header in message.get_all("To", []) for a in header.addresses
-        ]
-    except Exception:  # an unreadable To header only means that no recipient is known
-        return []
+        for header in message.get_all("To", []):
+            if _PLAIN_ADDRESS.fullmatch(header):
+                found.append(header.rpartition("<")[2].rstrip(">").lower())
+            else:
+                found.extend(_sendable(a.addr_spec.lower()) for a in header.addresses)
+    except Exception:  # an unreadable To header only means that no recipient is known from it
+        pass
+    return found
 
 
 def _sendable(text: str | None) -> str | None:

@@ -7,7 +7,7 @@ from email import message_from_bytes, policy
 import pytest
 from pyspark.sql import functions as F
 
-from mailtriage.operators.mime import explode_parts, parse_mail
+from mailtriage.operators.mime import _PLAIN_HEADERS, _caching_policy, explode_parts, parse_mail
 from mailtriage.operators.selection import assemble_mail, select_original, text_dump
 
 CATCH_ALL = "all@example.com"
@@ -264,6 +264,35 @@ def test_random_trees(spark):
         assert got == want, raw
 
 
+def random_header(rng, name):
+    if name == "content-type":
+        mark = "".join(rng.choice("aZ09'()+_,./:=-\" ") for _ in range(rng.randrange(1, 9)))
+        return f'multipart/{rng.choice(["mixed", "alternative", "x-y"])};{rng.choice(["", " ", chr(10) + chr(9)])}boundary="{mark}"'
+    if name == "subject":
+        atoms = ["a", "Re:", "[x]", " ", "  ", "=?utf-8?q?x?=", "(", '"', "\\", "<a@b>", ",", "\t", "é"]
+        return "".join(rng.choice(atoms) for _ in range(rng.randrange(0, 9)))
+    local, domain = (".".join(rng.choice(["a", "b-c", "_", "", "x+1", "9"]) for _ in range(rng.randrange(1, 4))) for _ in "ld")
+    form = rng.choice(["{}@{}", "Al Bo <{}@{}>", "A <{}@{}>", "<{}@{}>", '"A" <{}@{}>', "A  B <{}@{}>", "{}@{}, c@d"])
+    return form.format(local, domain)
+
+
+def test_plain_headers_read_as_parsed_ones(spark):
+    rng, rules = random.Random(2), _caching_policy()
+    plain = dict.fromkeys(_PLAIN_HEADERS, 0)
+    for name in [*_PLAIN_HEADERS] * 5000:
+        value = random_header(rng, name)
+        plain[name] += bool(_PLAIN_HEADERS[name].fullmatch(value))
+        raw = f"{name}: {value}\n\nx".encode()
+        got, want = (message_from_bytes(raw, policy=p) for p in (rules, policy.default))
+        if name == "content-type":
+            for message in (got, want):
+                message.seen = (message.get_content_type(), message.get_boundary(), message.is_multipart())
+            assert got.seen == want.seen, raw
+        else:
+            assert str(got[name]) == str(want[name]), raw
+    assert min(plain.values()) > 400
+
+
 def test_parts_table(spark):
     raw = multi("b", NOTE, eml("x", INNER), "Content-Type: message/rfc822\n\n" + INNER)
     rows = spark.createDataFrame([(7, bytearray(raw.encode()))], "msg_id int, content binary")
