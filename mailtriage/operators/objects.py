@@ -62,8 +62,11 @@ def missing_objects(requested: DataFrame, objects: DataFrame, on: str = "key") -
 
 def requested_objects(objects: DataFrame, requested: DataFrame, on: str = "key") -> DataFrame:
     """Stored objects that are asked for, each once. Repeated requests for one key are folded before
-    the shuffle, so a key that fills a large part of ``requested`` costs one row per task."""
-    return objects.join(requested.select(on).distinct(), on, "left_semi")
+    the shuffle, so a key that fills a large part of ``requested`` costs one row per task (the hash
+    beside the key leaves the join its own shuffle, see ``single_responses``). The objects themselves
+    are shuffled only if the requested keys are too many to broadcast."""
+    asked = requested.select(on, F.xxhash64(on).alias("_hash")).distinct().select(on)
+    return objects.join(asked, on, "left_semi")
 
 
 def addressed_to(to_addresses: Column, recipients: Sequence[str]) -> Column:

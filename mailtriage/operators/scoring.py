@@ -54,9 +54,13 @@ def build_requests(prompts: DataFrame, cfg: TriageConfig) -> DataFrame:
 def single_responses(responses: DataFrame, on: str = "msg_id") -> DataFrame:
     """One response per message, as one message is scored once: a body beats an error, then the
     greatest value wins, so a table with repeats (a rerun scoring job) gives one stable answer.
-    Repeats are folded before the shuffle."""
+
+    Repeats are folded before the shuffle. Grouping by the key and its hash keeps the result from being
+    partitioned by the key alone: a join on the key then shuffles both sides itself, which is what lets
+    adaptive execution split a message id that fills many mail rows."""
     best = F.max(F.struct(F.col("error_code").isNull().alias("ok"), "body", "error_code"))
-    return responses.groupBy(on).agg(best.alias("_best")).select(on, "_best.body", "_best.error_code")
+    folded = responses.groupBy(on, F.xxhash64(on).alias("_hash")).agg(best.alias("_best"))
+    return folded.select(on, "_best.body", "_best.error_code")
 
 
 def join_responses(mail: DataFrame, responses: DataFrame, on: str = "msg_id") -> DataFrame:

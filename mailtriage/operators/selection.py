@@ -76,13 +76,11 @@ def assemble_mail(parsed: DataFrame, catch_all: str, keep: Sequence[str] = ("msg
     used = F.col("_used")
     text_error = _first(F.filter(used, lambda u: u["text_error"].isNotNull()))["text_error"]
     body = F.coalesce(F.col("_single"), F.array_join(F.transform(used, lambda u: u["text"]), ""))
-    plain = decoded.select(
-        *keep,
-        "outer_from",
-        "chosen",
-        body.alias("body"),
-        F.coalesce("error", chosen["root_error"], text_error).alias("error"),
-    )
+    error = F.coalesce("error", chosen["root_error"], text_error)
+    # A generator of one row, not a projection: Spark would push a later filter on the error or the
+    # reply address below a projection and evaluate the whole selection a second time for it.
+    settled = F.struct("outer_from", "chosen", body.alias("body"), error.alias("error"))
+    plain = decoded.select(*keep, F.inline(F.array(settled)))
     ok = F.col("error").isNull()
     sender = non_empty(chosen["from"], k.DEFAULT_ADDRESS)
     to = non_empty(chosen["to"], k.DEFAULT_ADDRESS)

@@ -1,8 +1,8 @@
-"""The triage job: raw mail in, one decided row per mail out, and the tables derived from it."""
+"""The triage job: raw mail in, one decided row per mail out."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,23 +24,38 @@ from mailtriage.operators.verdicts import judge_responses
 
 
 def read_mail(mail: DataFrame, cfg: TriageConfig, id_col: str = "msg_id") -> DataFrame:
-    """Parsed, selected and assembled mail (see ``assemble_mail``), after the intake filter."""
-    parsed = parse_mail(mail, keep=(id_col,))
-    if cfg.recipients:
-        parsed = intake(parsed, cfg.recipients)
+    """Raw mail (``content``) after the intake filter, assembled: see ``assemble_mail``."""
+    parsed = intake(parse_mail(mail, keep=(id_col,)), cfg.recipients)
     return assemble_mail(parsed, cfg.catch_all, keep=(id_col,))
 
 
-def triage(
-    mail: DataFrame,
+def land_mail(mail: DataFrame, cfg: TriageConfig, path: str, id_col: str = "msg_id") -> DataFrame:
+    """Assembled mail, written once as Parquet and read back. For jobs that need it more than once, such
+    as requests now and decisions after scoring elsewhere: mail is then parsed a single time, and many
+    small objects become few large files."""
+    assembled = read_mail(mail, cfg, id_col)
+    assembled.write.mode("overwrite").parquet(path)
+    return mail.sparkSession.read.schema(assembled.schema).parquet(path)
+
+
+def requests_for(
+    assembled: DataFrame, cfg: TriageConfig, run_date: Column | None = None, id_col: str = "msg_id"
+) -> DataFrame:
+    """``request`` per mail that can be processed, for scoring it elsewhere."""
+    prompts = build_prompts(assembled, F.current_date() if run_date is None else run_date, cfg)
+    return build_requests(prompts, cfg).where(F.col("request").isNotNull()).select(id_col, "request")
+
+
+def decide(
+    assembled: DataFrame,
     cfg: TriageConfig,
     responses: DataFrame | None = None,
     make_scorer: Callable[[], Scorer] | None = None,
     run_date: Column | None = None,
     id_col: str = "msg_id",
 ) -> DataFrame:
-    """One row per mail: ``reply_to``, ``reply_subject``, ``is_phishing``, ``label``, ``analysis``,
-    ``score_error``, ``ticket_text`` and ``error``.
+    """One row per assembled mail: ``reply_to``, ``reply_subject``, ``is_phishing``, ``label``,
+    ``analysis``, ``score_error``, ``ticket_text`` and ``error``.
 
     Answers come from a ``responses`` table (``msg_id, body, error_code``) or from the caller's scorer.
     The table is joined after each mail has shrunk to its reply address, subject and, only where a
@@ -48,16 +63,14 @@ def triage(
     shuffled at all."""
     if (responses is None) == (make_scorer is None):
         raise ValueError("give either a responses table or a scorer")
-    assembled = read_mail(mail, cfg, id_col)
-    due = goes_to_catch_all(F.col("reply_to"), cfg) & F.lit(cfg.tickets_enabled)
     light = (id_col, "reply_to", "subject", "ticket_text", "error")
-    assembled = assembled.withColumn("ticket_text", F.when(due, redact(F.col("envelope"))))
+    due = goes_to_catch_all(F.col("reply_to"), cfg) & F.lit(cfg.tickets_enabled)
+    mail = assembled.withColumn("ticket_text", F.when(due, redact(F.col("envelope"))))
     if make_scorer is not None:
-        today = F.current_date() if run_date is None else run_date
-        requests = build_requests(build_prompts(assembled, today, cfg), cfg)
-        scored = score_with(requests, make_scorer, keep=light)
+        prompts = build_prompts(mail, F.current_date() if run_date is None else run_date, cfg)
+        scored = score_with(build_requests(prompts, cfg), make_scorer, keep=light)
     else:
-        scored = join_responses(assembled.select(*light), responses, on=id_col)
+        scored = join_responses(mail.select(*light), responses, on=id_col)
     judged = judge_responses(scored)
     ok = F.col("error").isNull()
     return judged.select(
@@ -70,25 +83,27 @@ def triage(
     )
 
 
+def triage(
+    mail: DataFrame,
+    cfg: TriageConfig,
+    responses: DataFrame | None = None,
+    make_scorer: Callable[[], Scorer] | None = None,
+    run_date: Column | None = None,
+    id_col: str = "msg_id",
+) -> DataFrame:
+    """From raw mail to decided rows in one plan: see :func:`decide`."""
+    return decide(read_mail(mail, cfg, id_col), cfg, responses, make_scorer, run_date, id_col)
+
+
 def replay(
     mail: DataFrame,
     requested: DataFrame,
     cfg: TriageConfig,
     responses: DataFrame | None = None,
     make_scorer: Callable[[], Scorer] | None = None,
-    id_col: str = "msg_id",
     run_date: Column | None = None,
+    id_col: str = "msg_id",
 ) -> DataFrame:
     """Triage of the stored mail that is asked for. Missing objects: see ``missing_objects``."""
     picked = requested_objects(mail, requested, on=id_col)
     return triage(picked, cfg, responses, make_scorer, run_date, id_col)
-
-
-def score_requests(
-    mail: DataFrame, cfg: TriageConfig, run_date: Column, keep: Sequence[str] = ("msg_id",)
-) -> DataFrame:
-    """The requests of a mail table, for scoring elsewhere: write them, score them, then ``triage`` with
-    the table of responses."""
-    assembled = read_mail(mail, cfg)
-    requests = build_requests(build_prompts(assembled, run_date, cfg), cfg)
-    return requests.where(F.col("request").isNotNull()).select(*keep, "request")

@@ -67,11 +67,9 @@ def listing(mail: DataFrame) -> DataFrame:
     return mail.select(F.col("msg_id").alias("key"), "size", "last_modified")
 
 
-def spread_small_scan(scan: DataFrame, key: str) -> DataFrame:
-    """A plain file scan with fewer splits than the cluster has cores, spread over all cores by ``key``
-    for the CPU-bound work that follows. A scan with enough splits is returned as it is: large inputs
-    are never shuffled for this. Looks at the file listing only; runs no job."""
+def spread_small_scan(scan: DataFrame) -> DataFrame:
+    """A plain file scan with fewer splits than the cluster has cores, spread evenly over all cores for
+    the CPU-bound work that follows. A scan with enough splits is returned as it is: large inputs are
+    never shuffled for this. Looks at the file listing only; runs no job."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, F.col(key))
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

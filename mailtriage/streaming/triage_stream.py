@@ -9,34 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mailtriage.config import TriageConfig
-from mailtriage.operators.report import build_outbox, build_status, build_tickets
 from mailtriage.operators.scoring import Scorer
+from mailtriage.plans.outputs import write_outputs
 from mailtriage.plans.triage import triage
 
-TABLES = ("triage", "outbox", "tickets", "status")
-
-
-def write_outputs(triaged: DataFrame, cfg: TriageConfig, out: str, batch: int, run_ts: Column) -> None:
-    """Write the decided rows once, then derive replies, tickets and outcomes from the written table, so
-    mail is parsed and scored once. Each batch owns one folder per table: writing it again replaces it."""
-    spark = triaged.sparkSession
-
-    def folder(table: str) -> str:
-        return f"{out}/{table}/batch_id={batch}"
-
-    triaged.write.mode("overwrite").parquet(folder("triage"))
-    decided = spark.read.schema(triaged.schema).parquet(folder("triage"))
-    build_outbox(decided, cfg).write.mode("overwrite").parquet(folder("outbox"))
-    build_tickets(decided, cfg, run_ts).write.mode("overwrite").parquet(folder("tickets"))
-    build_status(decided).write.mode("overwrite").parquet(folder("status"))
-
-
-def read_output(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """A table written by :func:`triage_stream` or :func:`write_outputs`, all batches."""
-    if table not in TABLES:
-        raise ValueError(f"no table {table!r}; there are {', '.join(TABLES)}")
-    return spark.read.parquet(f"{out}/{table}")
-
 
 def triage_stream(
     arrivals: DataFrame,
@@ -50,8 +26,10 @@ def triage_stream(
 ) -> StreamingQuery:
     """Start the query. ``arrivals`` is a stream of ``msg_id, content``. ``responses`` is called per
     batch, so that the table is read as it is by then. Without an ``interval`` all mail that is there
-    is processed and the query ends. The checkpoint and the batch folders make a rerun of a batch
-    replace its output instead of adding to it."""
+    is processed and the query ends.
+
+    Each batch runs the batch job on its own rows; the stream itself keeps no state. The checkpoint and
+    the batch folders make a repeated batch replace its output instead of adding to it."""
     if (responses is None) == (make_scorer is None):
         raise ValueError("give either a responses table or a scorer")
 
@@ -59,7 +37,7 @@ def triage_stream(
         now = F.current_timestamp() if run_ts is None else run_ts
         table = None if responses is None else responses(batch.sparkSession)
         decided = triage(batch, cfg, table, make_scorer, run_date=F.to_date(now))
-        write_outputs(decided, cfg, out, batch_id, now)
+        write_outputs(decided, cfg, out, now, batch_id)
 
     writer = arrivals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

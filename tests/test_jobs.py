@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from mailtriage import TriageConfig
 from mailtriage.operators.report import build_status
-from mailtriage.plans.triage import replay, score_requests, triage
+from mailtriage.plans.outputs import read_output, write_outputs
+from mailtriage.plans.triage import decide, land_mail, read_mail, replay, requests_for, triage
 from mailtriage.sources.mail import scan_mail, stream_mail
-from mailtriage.streaming.triage_stream import read_output, triage_stream, write_outputs
+from mailtriage.streaming.triage_stream import triage_stream
 
 CFG = TriageConfig(catch_all="all@example.com", ticket_token="t", ticket_owner="o", ticket_repo="r")
 
@@ -84,10 +85,19 @@ def test_scorer_and_table_agree(spark, store, batch):
 
 
 def test_only_mail_that_can_be_processed_is_scored(spark, store):
-    requests = score_requests(scan_mail(spark, str(store), root=str(store)), CFG, today())
+    mail = read_mail(scan_mail(spark, str(store), root=str(store)), CFG)
+    requests = requests_for(mail, CFG, today())
     assert sorted(r.msg_id for r in requests.collect()) == [f"m{i}.eml" for i in range(9) if i != 4]
 
 
+def test_landed_mail_is_parsed_once(spark, store, responses, batch, tmp_path):
+    landed = land_mail(scan_mail(spark, str(store), root=str(store)), CFG, str(tmp_path))
+    assert requests_for(landed, CFG, today()).count() == 8
+    decided = decide(landed, CFG, responses)
+    assert "MapInArrow" not in decided._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in decided.drop("error").collect()) == batch
+
+
 def test_replay(spark, store, responses):
     asked = spark.createDataFrame([("m1.eml",), ("m4.eml",), ("m1.eml",), ("none",)], "msg_id string")
     mail = scan_mail(spark, str(store), root=str(store))
@@ -132,23 +142,79 @@ def test_a_repeated_batch_replaces_its_output(spark, tmp_path, responses):
     mail = spark.createDataFrame([("m1.eml", bytearray(mail_of(1).encode()))], "msg_id string, content binary")
     out = str(tmp_path)
     for _ in range(2):
-        write_outputs(triage(mail, CFG, responses), CFG, out, 3, now())
+        write_outputs(triage(mail, CFG, responses), CFG, out, now(), batch=3)
     for table in ("triage", "outbox", "status"):
         assert [(r.msg_id, r.batch_id) for r in read_output(spark, out, table).collect()] == [("m1.eml", 3)]
 
 
-def test_bodies_are_not_shuffled(spark, tmp_path):
-    """With both sides too big to broadcast, the join still moves no body or envelope."""
+def executed(frame):
+    """The plan that ran, after adaptive execution."""
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+@pytest.fixture
+def big_tables(spark):
+    """Plan as for tables too big to broadcast, with a low bar for what counts as a hot partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_a_hot_message_id_is_split_and_kept_whole(spark, tmp_path, big_tables):
+    """A third of the mails, and of the responses, share one id."""
+    ids = spark.range(30000).selectExpr("id", "if(id % 3 = 0, 0, id) as msg_id")
+    ids.selectExpr("msg_id", "encode(concat('Subject: ', sha2(string(id), 512), '\n\nx'), 'UTF-8') as content").repartition(
+        8
+    ).write.parquet(str(tmp_path / "mail"))
+    body = """'{"content":[{"text":"PHISHING"}]}'"""
+    ids.selectExpr("msg_id", f"{body} as body", "string(null) as error_code").write.parquet(str(tmp_path / "responses"))
+    decided = triage(
+        spark.read.parquet(str(tmp_path / "mail")), CFG, spark.read.parquet(str(tmp_path / "responses"))
+    )
+    got = decided.selectExpr("count(*) as n", "count(distinct reply_subject) as subjects", "sum(int(is_phishing)) as flagged")
+    assert tuple(got.first()) == (30000, 30000, 30000)
+    flat = decided.selectExpr("sum(length(reply_subject)) as n", "sum(int(is_phishing)) as flagged")
+    assert "SortMergeJoin(skew=true)" in executed(flat)
+
+
+def test_a_hot_request_is_folded(spark, tmp_path, big_tables):
+    asked = spark.range(20000).selectExpr("if(id % 3 = 0, 'm1.eml', concat('x', id)) as msg_id")
+    mail = spark.createDataFrame([("m1.eml", bytearray(mail_of(1).encode()))], "msg_id string, content binary")
+    responses = spark.createDataFrame([("m1.eml", answer_of(1), None)], "msg_id string, body string, error_code string")
+    assert [r.is_phishing for r in replay(mail, asked, CFG, responses).collect()] == [True]
+
+
+def test_only_light_columns_are_joined(spark, tmp_path, big_tables):
     rows = spark.range(10).selectExpr("id as msg_id", "cast('Subject: x' as binary) as content")
     rows.write.parquet(str(tmp_path / "mail"))
     rows.selectExpr("msg_id", "'' as body", "'' as error_code").write.parquet(str(tmp_path / "responses"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        decided = triage(spark.read.parquet(str(tmp_path / "mail")), CFG, spark.read.parquet(str(tmp_path / "responses")))
-        plan = decided._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning") == 2
-    assert plan.count("MapInArrow") == 1
-    moved = decided._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].splitlines()[1]
-    assert "ticket_text" in moved and "envelope" not in moved.split("Project")[1].split(" AS ")[-1]
+    decided = triage(
+        spark.read.parquet(str(tmp_path / "mail")), CFG, spark.read.parquet(str(tmp_path / "responses"))
+    )
+    plan = decided._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("MapInArrow") == 1
+    assert plan.toString().count("Exchange hashpartitioning") == 3  # mail, folded responses, joined responses
+    join = decided._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    left = join.split(":- Project [")[1].splitlines()[0]
+    names = [part.split(" AS ")[-1].split("#")[0].strip() for part in left.split(", ") if "#" in part]
+    assert names[:3] == ["msg_id", "reply_to", "subject"] and "envelope" not in names[-2:]
+
+
+def test_filters_do_not_repeat_the_selection(spark):
+    mail = spark.createDataFrame([("m", bytearray(b"From: a@b.co\n\nx"))], "msg_id string, content binary")
+    kept = read_mail(mail, CFG).where("error is null and reply_to = 'a@b.co'")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    below_generate = plan.split("Generate")[1]
+    assert "Filter" not in below_generate
+    assert kept.count() == 1

@@ -100,10 +100,10 @@ def test_only_small_scans_are_spread(spark, tmp_path):
     spark.range(1000).repartition(1).write.parquet(str(tmp_path / "one"))
     spark.range(1000).repartition(8).write.parquet(str(tmp_path / "many"))
     one = spark.read.parquet(str(tmp_path / "one"))
-    assert spread_small_scan(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread_small_scan(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
     try:
         many = spark.read.parquet(str(tmp_path / "many"))
-        assert spread_small_scan(many, "id") is many
+        assert spread_small_scan(many) is many
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")

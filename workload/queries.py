@@ -11,10 +11,11 @@ from mailtriage import constants as k
 from mailtriage.functions import text as t
 from mailtriage.functions import verdict as v
 from mailtriage.operators import mime, objects, report, scoring, selection, verdicts
+from mailtriage.plans.outputs import read_output
 from mailtriage.plans.triage import read_mail, replay, triage
 from mailtriage.sources import notifications
 from mailtriage.sources.workspace import workspace
-from mailtriage.streaming.triage_stream import read_output, triage_stream
+from mailtriage.streaming.triage_stream import triage_stream
 from workload import samples as s
 
 PREFIX = "inbox/"

@@ -28,11 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_scan(table(spark, sf_dir, "documents"), "doc_id")
+    return spread_small_scan(table(spark, sf_dir, "documents"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_scan(table(spark, sf_dir, "pages"), "page_id")
+    return spread_small_scan(table(spark, sf_dir, "pages"))
 
 
 def run_date() -> Column:
