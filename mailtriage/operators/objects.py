@@ -29,13 +29,15 @@ def list_objects(
     number = F.row_number().over(Window.orderBy("last_modified", "key"))
     if detail == "basic":
         return page.select(number.alias("number"), "key")
+    # Shown in UTC, whatever the session's time zone.
+    modified = F.to_utc_timestamp(F.col("last_modified"), F.current_timezone())
     path = F.concat(F.lit(f"s3://{bucket}/"), F.col("key")) if bucket else F.col("key")
     return page.select(
         number.alias("number"),
         "key",
         "size",
         size_label(F.col("size")).alias("size_label"),
-        F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("last_modified"),
+        F.date_format(modified, "yyyy-MM-dd HH:mm:ss").alias("last_modified"),
         path.alias("path"),
     )
 

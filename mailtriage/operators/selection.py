@@ -14,68 +14,59 @@ from mailtriage.templates import fill
 _ENVELOPE = "\nFrom: {sender}\nTo: {to}\nSubject: {subject}\n\n{body}\n"
 
 
-def _first(items: Column) -> Column:
-    return F.get(items, F.lit(0))
+_ROOTS = """
+    transform(filter(parts, p -> p.is_root),
+              p -> struct(p.message_no, p.n_headers, p.`from`, p.`to`, p.subject, p.root_error, p.is_multipart))
+"""
+# The body of a message that has no parts, and the texts that make up the body of one that has: its
+# preferred body, or else all its plain parts. A message owns its own parts; the outer mail also owns
+# those of forwards inside it as message/rfc822, but not those of attached .eml files.
+_WHOLE = """
+    CASE WHEN NOT chosen.is_multipart THEN
+        get(filter(parts, p -> p.is_root AND p.message_no = chosen.message_no), 0).raw_text
+    END
+"""
+_PREFERRED = """
+    transform(filter(parts, p -> p.body_pref AND p.n_headers > 0 AND p.message_no = chosen.message_no),
+              p -> struct(p.text, p.text_error))
+"""
+_PLAIN = """
+    transform(filter(parts, p -> p.content_type = 'text/plain'
+                     AND IF(chosen.message_no = 0, NOT p.in_eml, p.message_no = chosen.message_no)),
+              p -> struct(p.text, p.text_error))
+"""
 
 
 def select_original(parsed: DataFrame) -> DataFrame:
     """Adds ``chosen``: the last embedded message in visit order, or the outer mail when there is none
     or when that last one has no headers. ``chosen.message_no`` is 0 for the outer mail."""
-    light = (
-        "message_no",
-        "n_headers",
-        "from",
-        "to",
-        "subject",
-        "root_error",
-        "is_multipart",
-    )
-    roots = F.transform(
-        F.filter("parts", lambda p: p["is_root"]),
-        lambda p: F.struct(*(p[name].alias(name) for name in light)),
-    )
     last, outer = F.col("_roots")[F.size("_roots") - 1], F.col("_roots")[0]
     return (
-        parsed.withColumn("_roots", roots)
-        .withColumn("chosen", F.when(last["n_headers"] > 0, last).otherwise(outer))
-        .withColumn("outer_from", outer["from"])
+        parsed.withColumn("_roots", F.expr(_ROOTS))
+        .withColumns(
+            {
+                "chosen": F.when(last["n_headers"] > 0, last).otherwise(outer),
+                "outer_from": outer["from"],
+            }
+        )
         .drop("_roots")
     )
 
 
-def _body_columns(number: Column, is_multipart: Column) -> dict[str, Column]:
-    # A message's text parts are its own ones; the outer mail also owns those of forwards that are
-    # inside it as message/rfc822, but not those of attached .eml files.
-    def in_scope(part: Column) -> Column:
-        return F.when(number == 0, ~part["in_eml"]).otherwise(part["message_no"] == number)
-
-    def texts(part: Column) -> Column:
-        return F.struct(part["text"].alias("text"), part["text_error"].alias("text_error"))
-
-    whole = _first(F.filter("parts", lambda p: p["is_root"] & (p["message_no"] == number)))
-    preferred = _first(
-        F.filter("parts", lambda p: p["body_pref"] & (p["n_headers"] > 0) & (p["message_no"] == number))
-    )
-    plain = F.filter("parts", lambda p: in_scope(p) & (p["content_type"] == "text/plain"))
-    used = F.when(preferred.isNotNull(), F.array(texts(preferred))).otherwise(F.transform(plain, texts))
-    return {
-        "_single": F.when(~is_multipart, whole["raw_text"]),
-        "_used": F.when(is_multipart, used),
-    }
-
-
 def assemble_mail(parsed: DataFrame, catch_all: str, keep: Sequence[str] = ("msg_id",)) -> DataFrame:
     """``reply_to``, ``from``, ``to``, ``subject``, ``body``, ``envelope`` and ``error`` per mail.
 
     Headers and body all come from the chosen message, only the reply address from the outer one.
     All columns but ``error`` are null for a mail that cannot be processed."""
-    chosen = F.col("chosen")
-    decoded = select_original(parsed).withColumns(
-        _body_columns(chosen["message_no"], chosen["is_multipart"])
+    chosen, used = F.col("chosen"), F.col("_used")
+    preferred = F.when(chosen["is_multipart"], F.expr(_PREFERRED))
+    decoded = (
+        select_original(parsed)
+        .withColumns({"_whole": F.expr(_WHOLE), "_preferred": preferred})
+        .withColumn("_used", F.when(F.size("_preferred") == 0, F.expr(_PLAIN)).otherwise(F.col("_preferred")))
     )
-    used = F.col("_used")
-    text_error = _first(F.filter(used, lambda u: u["text_error"].isNotNull()))["text_error"]
-    body = F.coalesce(F.col("_single"), F.array_join(F.transform(used, lambda u: u["text"]), ""))
+    text_error = F.expr("get(filter(_used, u -> u.text_error IS NOT NULL), 0).text_error")
+    body = F.coalesce(F.col("_whole"), F.array_join(used["text"], ""))
     error = F.coalesce("error", chosen["root_error"], text_error)
     # A generator of one row, not a projection: Spark would push a later filter on the error or the
     # reply address below a projection and evaluate the whole selection a second time for it.
