@@ -30,6 +30,16 @@ SECTION_CLOSE = "[/SECTION]"
 SERVICE_ERROR_TEXT = "Error: Unable to process the email content. (%s)"
 UNEXPECTED_ERROR_TEXT = "Error: Unexpected error occurred during email classification."
 
+# --- fixed values: HTML of an analysis ---
+VERDICT_BOX = ("<div class='verdict'><h3>", "</h3></div>")
+SECTION_TITLE = "<h3 class='{style}'>{name}</h3>"
+LIST_MARKS = ("<ul>", "</ul>")
+ITEM_MARKS = ("<li>", "</li>")
+BOLD_MARKS = ("<strong>", "</strong>")
+BULLETS = ("\u2022", "*", "-")
+PHISHING_STYLE = "red-section"
+CLEAN_STYLE = "green-section"
+
 # --- fixed values: reply, ticket and outcome texts ---
 REPLY_TAG_PHISHING = "[PHISHING Detected] "
 REPLY_TAG_CLEAN = "[CLEAN] "
@@ -39,6 +49,16 @@ TICKET_LABELS = ("phishing-email", "catch-all")
 STATUS_OK_TEXT = "Email processed successfully"
 STATUS_ERROR_PREFIX = "Error processing email: "
 
+# --- fixed values: what is redacted, applied in this order. These are the plain patterns with Python's
+# meaning of \b, \d and \s; functions.text has the forms that Spark runs ---
+REDACTIONS = (
+    (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL]"),
+    (r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE]"),
+    (r"https?://\S+", "[URL]"),
+    (r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "[CREDIT_CARD]"),
+    (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"),
+)
+
 # --- fixed values: HTML-to-text replacements, applied one after the other in this order ---
 TAG_REPLACEMENTS = (
     ("<br>", "\n"),

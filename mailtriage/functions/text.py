@@ -5,30 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailtriage.constants import TAG_REPLACEMENTS, WHITESPACE, WS
+from mailtriage.constants import REDACTIONS, TAG_REPLACEMENTS, WHITESPACE, WS
 
 # First digit of a run with a word boundary before it, and the boundary after the last digit: no
 # letter, number or underscore of any script next to the run. The digit is tested first, as most
 # characters are none.
 _FIRST_DIGIT = r"\p{Nd}(?<![\p{L}\p{N}_]\p{Nd})"
 _END = r"(?![\p{L}\p{N}_])"
-
-# Applied in this order. The e-mail pattern may only start at the left end of a run of address
-# characters (or where the previous match ended), which keeps it linear on long unbroken runs.
-_ADDRESS = (
-    r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
-    "[EMAIL]",
-)
-_PHONE = (
-    rf"{_FIRST_DIGIT}\p{{Nd}}{{2}}[-.{WS}]?\p{{Nd}}{{3}}[-.{WS}]?\p{{Nd}}{{4}}{_END}",
-    "[PHONE]",
-)
-_URL = (rf"https?://[^{WS}]+", "[URL]")
-_CARD = (
-    rf"{_FIRST_DIGIT}\p{{Nd}}{{3}}[-{WS}]?(?:\p{{Nd}}{{4}}[-{WS}]?){{2}}\p{{Nd}}{{4}}{_END}",
-    "[CREDIT_CARD]",
-)
-_SSN = (rf"{_FIRST_DIGIT}\p{{Nd}}{{2}}-\p{{Nd}}{{2}}-\p{{Nd}}{{4}}{_END}", "[SSN]")
+# The patterns of REDACTIONS in the same order. The address may only start at the left end of a run of
+# address characters (or where the previous match ended), which keeps it linear on long unbroken runs.
+_ADDRESS = r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+_PHONE = rf"{_FIRST_DIGIT}\p{{Nd}}{{2}}[-.{WS}]?\p{{Nd}}{{3}}[-.{WS}]?\p{{Nd}}{{4}}{_END}"
+_URL = rf"https?://[^{WS}]+"
+_CARD = rf"{_FIRST_DIGIT}\p{{Nd}}{{3}}[-{WS}]?(?:\p{{Nd}}{{4}}[-{WS}]?){{2}}\p{{Nd}}{{4}}{_END}"
+_SSN = rf"{_FIRST_DIGIT}\p{{Nd}}{{2}}-\p{{Nd}}{{2}}-\p{{Nd}}{{4}}{_END}"
+_MASKS = dict(zip((_ADDRESS, _PHONE, _URL, _CARD, _SSN), (mask for _, mask in REDACTIONS), strict=True))
 # Every number pattern needs three digits in a row.
 _NUMBER = r"\p{Nd}{3}"
 
@@ -50,10 +41,10 @@ def redact(text: Column) -> Column:
     Cheap tests come first: masks never create an ``@``, a ``://`` or a digit, so texts without them
     need none of the patterns that look for them."""
 
-    def masked(*patterns: tuple[str, str]) -> Column:
+    def masked(*patterns: str) -> Column:
         result = text
-        for pattern, mask in patterns:
-            result = F.regexp_replace(result, pattern, mask)
+        for pattern in patterns:
+            result = F.regexp_replace(result, pattern, _MASKS[pattern])
         return result
 
     names_one = F.contains(text, F.lit("@")) | F.contains(text, F.lit("://"))

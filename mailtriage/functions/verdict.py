@@ -50,14 +50,14 @@ def section_headers(lines: Column) -> Column:
 
 
 def bold(line: Column) -> Column:
-    marked = F.regexp_replace(line, r"(?s)\*\*(.*?)\*\*", "<strong>$1</strong>")
+    marked = F.regexp_replace(line, r"(?s)\*\*(.*?)\*\*", "$1".join(k.BOLD_MARKS))
     return F.when(F.contains(line, F.lit("**")), marked).otherwise(line)
 
 
 def without_bullet(line: Column) -> Column:
     """A stripped line without one leading bullet and the white space after it."""
     rest = F.ltrim(F.substring(line, F.lit(2), F.length(line)), F.lit(k.WHITESPACE))
-    return F.when(F.left(line, F.lit(1)).isin("•", "*", "-"), rest).otherwise(line)
+    return F.when(F.left(line, F.lit(1)).isin(*k.BULLETS), rest).otherwise(line)
 
 
 def item_html(line: Column) -> Column:
@@ -93,15 +93,18 @@ def analysis_html(label: Column, is_phishing: Column, found: Column) -> Column:
 
     def block(name: str, style: str) -> Column:
         items = F.get(F.filter(found, lambda s: s["name"] == name), F.lit(0))["items"]
-        rows = F.array_join(F.transform(items, lambda i: F.concat(F.lit("<li>"), i, F.lit("</li>"))), "\n")
-        html = F.concat(F.lit(f"<h3 class='{style}'>{name}</h3>\n<ul>\n"), rows, F.lit("\n</ul>"))
-        return F.when(F.size(items) > 0, html)
+        rows = F.transform(items, lambda i: _between(k.ITEM_MARKS, i))
+        title = k.SECTION_TITLE.format(style=style, name=name)
+        lines = F.concat(F.array(F.lit(title), F.lit(k.LIST_MARKS[0])), rows, F.array(F.lit(k.LIST_MARKS[1])))
+        return F.when(F.size(items) > 0, F.array_join(lines, "\n"))
 
-    verdict = F.when(
-        label != "", F.concat(F.lit("<div class='verdict'><h3>"), label, F.lit("</h3></div>"))
-    ).otherwise("")
+    verdict = F.when(label != "", _between(k.VERDICT_BOX, label)).otherwise("")
     phishing = F.concat_ws(
-        "\n", verdict, block(k.RED_FLAGS, "red-section"), block(k.SIMILAR_THREATS, "red-section")
+        "\n", verdict, block(k.RED_FLAGS, k.PHISHING_STYLE), block(k.SIMILAR_THREATS, k.PHISHING_STYLE)
     )
-    clean = F.concat_ws("\n", verdict, block(k.CLEAN_INDICATORS, "green-section"))
+    clean = F.concat_ws("\n", verdict, block(k.CLEAN_INDICATORS, k.CLEAN_STYLE))
     return F.when(is_phishing, phishing).otherwise(clean)
+
+
+def _between(marks: tuple[str, str], text: Column) -> Column:
+    return F.concat(F.lit(marks[0]), text, F.lit(marks[1]))

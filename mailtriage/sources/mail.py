@@ -67,9 +67,16 @@ def listing(mail: DataFrame) -> DataFrame:
     return mail.select(F.col("msg_id").alias("key"), "size", "last_modified")
 
 
+def missing_tasks(scan: DataFrame) -> int | None:
+    """The number of cores if a plain file scan has fewer splits than that, else nothing. Looks at the
+    file listing only; runs no job."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return cores if scan.rdd.getNumPartitions() < cores else None
+
+
 def spread_small_scan(scan: DataFrame) -> DataFrame:
     """A plain file scan with fewer splits than the cluster has cores, spread evenly over all cores for
     the CPU-bound work that follows. A scan with enough splits is returned as it is: large inputs are
-    never shuffled for this. Looks at the file listing only; runs no job."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    never shuffled for this."""
+    cores = missing_tasks(scan)
+    return scan.repartition(cores) if cores else scan

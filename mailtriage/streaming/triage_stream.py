@@ -23,10 +23,12 @@ def triage_stream(
     make_scorer: Callable[[], Scorer] | None = None,
     run_ts: Column | None = None,
     interval: str | None = None,
+    tasks: int | None = None,
 ) -> StreamingQuery:
     """Start the query. ``arrivals`` is a stream of ``msg_id, content``. ``responses`` is called per
     batch, so that the table is read as it is by then. Without an ``interval`` all mail that is there
-    is processed and the query ends.
+    is processed and the query ends. ``tasks`` spreads each batch over that many tasks, for sources
+    whose batches have few splits; without it mail is parsed where it is read.
 
     Each batch runs the batch job on its own rows; the stream itself keeps no state. The checkpoint and
     the batch folders make a repeated batch replace its output instead of adding to it."""
@@ -36,7 +38,8 @@ def triage_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         now = F.current_timestamp() if run_ts is None else run_ts
         table = None if responses is None else responses(batch.sparkSession)
-        decided = triage(batch, cfg, table, make_scorer, run_date=F.to_date(now))
+        mail = batch if tasks is None else batch.repartition(tasks)
+        decided = triage(mail, cfg, table, make_scorer, run_date=F.to_date(now))
         write_outputs(decided, cfg, out, now, batch_id)
 
     writer = arrivals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -9,34 +9,24 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from mailtriage import constants as k
 from mailtriage.functions import text as t
 
 NBSP = "\xa0"
 
-# Python regexes with the same meaning, for comparison over all characters.
-PLAIN_REDACTIONS = (
-    (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL]"),
-    (r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE]"),
-    (r"https?://\S+", "[URL]"),
-    (r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "[CREDIT_CARD]"),
-    (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"),
-)
-
 
 def plain_redact(text):
-    for pattern, mask in PLAIN_REDACTIONS:
+    for pattern, mask in k.REDACTIONS:
         text = re.sub(pattern, mask, text)
     return text
 
 
 def plain_html_to_text(html):
-    text = re.sub(r"(?s)<style>.*?</style>", "", html)
-    for tag, new in [("<br>", "\n"), ("<hr>", "-" * 40)]:
-        text = text.replace(tag, new)
-    for name, end in [("h1", "\n\n"), ("h2", "\n"), ("h3", "\n"), ("p", "\n"), ("strong", ""), ("div", "\n")]:
-        text = text.replace(f"<{name}>", "").replace(f"</{name}>", end)
-    text = re.sub("<[^>]*>", "", text)
-    return re.sub(" +", " ", re.sub(r"\n\s*\n", "\n\n", text)).strip()
+    text = re.sub("(?s)<style>.*?</style>", "", html)
+    for tag, replacement in k.TAG_REPLACEMENTS:
+        text = text.replace(tag, replacement)
+    blank = re.compile(r"\n\s*\n")
+    return re.sub(" +", " ", blank.sub("\n\n", re.sub("<[^>]*>", "", text))).strip()
 
 
 @pytest.mark.parametrize(

@@ -14,26 +14,30 @@ GOOD = "[SECTION]CLEAN INDICATORS[/SECTION]"
 
 
 def plain_flag(text):
-    lines = text.strip().split("\n")
-    bare = [x.upper().strip() for x in lines[:5]]
-    verdict = next((b for b in bare if b in ("PHISHING", "CLEAN")), None)
-    flagged = verdict == "PHISHING" or (verdict is None and RED in text)
-    return flagged or any("PHISHING" in x.upper() for x in lines[:20])
+    """The rule in its reduced form: a mention early on, or a red-flags section and no bare verdict."""
+    lines = text.strip().upper().split("\n")
+    bare = {line.strip() for line in lines[:5]} & {"PHISHING", "CLEAN"}
+    return "PHISHING" in "\n".join(lines[:20]) or (not bare and RED in text)
 
 
 def plain_sections(text):
-    found, current = {}, ""
-    for line in text.strip().split("\n"):
-        header = re.search(r"\[SECTION\](.*?)\[/SECTION\]", line)
-        if header:
-            current = header[1]
-            found[current] = []
-        elif current and line.strip() and "PHISHING" not in line and "CLEAN" not in line:
-            bare = re.sub(r"^[•*-]\s*", "", line.strip())
-            found[current].append(re.sub(r"\*\*(.*?)\*\*", r"<strong>\1</strong>", bare))
+    lines = text.strip().split("\n")
+    headers = [(at, m[1]) for at, line in enumerate(lines) if (m := re.search(r"\[SECTION\](.*?)\[/SECTION\]", line))]
+    ends = [at for at, _ in headers[1:]] + [len(lines)]
+    bodies = {name: lines[at + 1 : end] for (at, name), end in zip(headers, ends, strict=False)}
+    found = {name: [plain_item(x) for x in body if is_item(x)] for name, body in bodies.items()}
     return {name: items for name, items in found.items() if name and items}
 
 
+def is_item(line):
+    return line.strip() and not re.search("PHISHING|CLEAN", line)
+
+
+def plain_item(line):
+    bare = re.sub(r"^[•*-]\s*", "", line.strip())
+    return re.sub(r"\*\*(.*?)\*\*", r"<strong>\1</strong>", bare)
+
+
 def plain_label(text):
     word = re.search("PHISHING|CLEAN", text)
     return word[0] if word else ""

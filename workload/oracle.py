@@ -31,13 +31,7 @@ def fill(template: str, **slots: str) -> str:
 
 
 def redacted(text: str) -> str:
-    for pattern, mask in (
-        (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL]"),
-        (r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE]"),
-        (r"https?://\S+", "[URL]"),
-        (r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "[CREDIT_CARD]"),
-        (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"),
-    ):
+    for pattern, mask in k.REDACTIONS:
         text = f"regexp_replace({text}, {lit(pattern)}, {lit(mask)}, 'g')"
     return text
 

@@ -14,6 +14,7 @@ from mailtriage.operators import mime, objects, report, scoring, selection, verd
 from mailtriage.plans.outputs import read_output
 from mailtriage.plans.triage import read_mail, replay, triage
 from mailtriage.sources import notifications
+from mailtriage.sources.mail import missing_tasks
 from mailtriage.sources.workspace import workspace
 from mailtriage.streaming.triage_stream import triage_stream
 from workload import samples as s
@@ -41,6 +42,7 @@ def triage_stream_query(spark: SparkSession, sf: str) -> DataFrame:
         f"{out}/checkpoint",
         responses=lambda session: s.responses(session, sf),
         run_ts=s.run_ts(),
+        tasks=missing_tasks(docs),
     ).awaitTermination()
     return read_output(spark, out, "triage").drop("batch_id", "error", "ticket_text")
 
