@@ -55,19 +55,17 @@ def redact(text: Column) -> Column:
     )
 
 
-def _remove_closed(text: Column, pattern: str, closer: str) -> Column:
-    # Only the text up to the last closer can match, so unclosed openers after it are never scanned.
-    tail = F.substring_index(text, closer, -1)
-    head = F.left(text, F.length(text) - F.length(tail))
-    return F.concat(F.regexp_replace(head, pattern, ""), tail)
+# An opener that is never closed matches up to the end of the text and is put back, so it is read once.
+_STYLE_BLOCK = r"(?s)<style>.*?</style>|(<style>.*)\z"
+_TAG = r"<[^>]*+>|(<[^>]*+)\z"
 
 
 def html_to_text(html: Column) -> Column:
     """Readable text of an HTML document: no style blocks, no tags, blank runs closed up."""
-    text = _remove_closed(html, r"(?s)<style>.*?</style>", "</style>")
+    text = F.regexp_replace(html, _STYLE_BLOCK, "$1")
     for tag, replacement in TAG_REPLACEMENTS:
         text = F.replace(text, F.lit(tag), F.lit(replacement))
-    text = _remove_closed(text, r"<[^>]*+>", ">")
+    text = F.regexp_replace(text, _TAG, "$1")
     text = F.regexp_replace(text, rf"\n[{WS}]*\n", "\n\n")
     return strip(F.regexp_replace(text, r" {2,}", " "))
 

@@ -11,7 +11,13 @@ TABLES = ("triage", "outbox", "tickets", "status")
 
 
 def write_outputs(
-    triaged: DataFrame, cfg: TriageConfig, out: str, run_ts: Column, batch: int = 0, is_html: bool = True
+    triaged: DataFrame,
+    cfg: TriageConfig,
+    out: str,
+    run_ts: Column,
+    batch: int = 0,
+    is_html: bool = True,
+    id_col: str = "msg_id",
 ) -> None:
     """Write the decided rows once, then derive replies, tickets and outcomes from the written table, so
     mail is parsed and scored once. Each batch owns one folder per table: writing it again replaces it."""
@@ -21,9 +27,10 @@ def write_outputs(
 
     triaged.write.mode("overwrite").parquet(folder("triage"))
     decided = triaged.sparkSession.read.schema(triaged.schema).parquet(folder("triage"))
-    build_outbox(decided, cfg, is_html).write.mode("overwrite").parquet(folder("outbox"))
-    build_tickets(decided, cfg, run_ts).write.mode("overwrite").parquet(folder("tickets"))
-    build_status(decided).write.mode("overwrite").parquet(folder("status"))
+    keep = (id_col,)
+    build_outbox(decided, cfg, is_html, keep).write.mode("overwrite").parquet(folder("outbox"))
+    build_tickets(decided, cfg, run_ts, keep).write.mode("overwrite").parquet(folder("tickets"))
+    build_status(decided, keep).write.mode("overwrite").parquet(folder("status"))
 
 
 def read_output(spark: SparkSession, out: str, table: str) -> DataFrame:

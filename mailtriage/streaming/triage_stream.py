@@ -24,6 +24,7 @@ def triage_stream(
     run_ts: Column | None = None,
     interval: str | None = None,
     tasks: int | None = None,
+    id_col: str = "msg_id",
 ) -> StreamingQuery:
     """Start the query. ``arrivals`` is a stream of ``msg_id, content``. ``responses`` is called per
     batch, so that the table is read as it is by then. Without an ``interval`` all mail that is there
@@ -39,8 +40,8 @@ def triage_stream(
         now = F.current_timestamp() if run_ts is None else run_ts
         table = None if responses is None else responses(batch.sparkSession)
         mail = batch if tasks is None else batch.repartition(tasks)
-        decided = triage(mail, cfg, table, make_scorer, run_date=F.to_date(now))
-        write_outputs(decided, cfg, out, now, batch_id)
+        decided = triage(mail, cfg, table, make_scorer, F.to_date(now), id_col)
+        write_outputs(decided, cfg, out, now, batch_id, id_col=id_col)
 
     writer = arrivals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -147,6 +147,16 @@ def test_a_repeated_batch_replaces_its_output(spark, tmp_path, responses):
         assert [(r.msg_id, r.batch_id) for r in read_output(spark, out, table).collect()] == [("m1.eml", 3)]
 
 
+def test_any_id_column(spark, tmp_path):
+    mail = spark.createDataFrame([(7, bytearray(mail_of(1).encode()))], "number long, content binary")
+    responses = spark.createDataFrame([(7, answer_of(1), None)], "number long, body string, error_code string")
+    write_outputs(triage(mail, CFG, responses, id_col="number"), CFG, str(tmp_path), now(), id_col="number")
+    assert [(r.number, r.subject) for r in read_output(spark, str(tmp_path), "outbox").collect()] == [
+        (7, "[PHISHING Detected] s1")
+    ]
+    assert read_output(spark, str(tmp_path), "status").first().number == 7
+
+
 def executed(frame):
     """The plan that ran, after adaptive execution."""
     frame.collect()

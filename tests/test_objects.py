@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mailtriage.operators import objects as o
 from mailtriage.sources.mail import listing, scan_mail, spread_small_scan
 from mailtriage.sources.notifications import build_notifications, notification, parse_notifications
+from mailtriage.sources.workspace import workspace
 
 
 @pytest.fixture(scope="module")
@@ -96,6 +97,13 @@ def test_listing_never_opens_a_mail(spark, tmp_path):
     assert {r.key: r.size for r in objects.collect()} == {"sub/a.eml": 13, "b.eml": 12}
 
 
+def test_workspace_is_in_the_shared_folder(spark):
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    one, two = workspace(spark, "x"), workspace(spark, "x")
+    assert one != two
+    assert shared is None or one.startswith(shared)
+
+
 def test_only_small_scans_are_spread(spark, tmp_path):
     spark.range(1000).repartition(1).write.parquet(str(tmp_path / "one"))
     spark.range(1000).repartition(8).write.parquet(str(tmp_path / "many"))
