@@ -8,8 +8,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. A session without that setting is refused, unless it
+    has no executors of its own (``local[...]``, as in tests): a folder of one machine is not seen by others."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = tempfile.mkdtemp(prefix="mailtriage-")
+    spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder path for one run, under the shared folder named by ``spark.checkpoint.dir``.
-    Only a session without that setting (a local test) gets a folder of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mailtriage-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder path for one run, under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -58,7 +58,7 @@ def main() -> int:
     con = connect(sf_dir)
     queries, oracle = entry_points.queries(), entry_points.oracle_sql()
     failed = 0
-    for name in names or queries:
+    for name in names or oracle:
         start = time.time()
         try:
             problems = differences(queries[name](spark, sf_dir), con, oracle[name])
@@ -66,7 +66,7 @@ def main() -> int:
             problems = [f"{type(problem).__name__}: {str(problem)[:600]}"]
         failed += bool(problems)
         print(f"{'FAIL' if problems else 'ok  '} {name} {time.time() - start:.2f}s", *problems, sep="\n", flush=True)
-    print(f"{failed} of {len(names or queries)} queries differ")
+    print(f"{failed} of {len(names or oracle)} queries differ")
     return failed
 
 
