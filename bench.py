@@ -27,6 +27,7 @@ HEADLINES = (
     "verdict_flag",
     "section_html",
     "triage_batch",
+    "triage_stream",
     "outbox",
     "tickets",
     "replay_batch",
@@ -44,6 +45,7 @@ def main() -> None:
         .appName("mailtriage-bench")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.mailtriage.tasks", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

@@ -11,7 +11,8 @@ from mailtriage.templates import PROMPT_TEMPLATE
 
 @dataclass(frozen=True)
 class TriageConfig:
-    """``catch_all`` is required: it is the reply address when the forwarder is unknown."""
+    """``catch_all`` is required: it is the reply address when the forwarder is unknown. ``model_id`` is handed to the
+    scorer's factory and to request tables; ``in_flight`` is how many requests of a task wait at a time."""
 
     catch_all: str
     sender: str = ""
@@ -21,6 +22,7 @@ class TriageConfig:
     model_id: str | None = None
     max_tokens: int = k.MAX_TOKENS
     temperature: float = k.TEMPERATURE
+    in_flight: int = 1
     prompt_template: str = PROMPT_TEMPLATE
     ticket_token: str = field(default="", repr=False)
     ticket_owner: str = ""

@@ -41,6 +41,7 @@ PART = T.StructType(
         T.StructField("body_pref", T.BooleanType()),  # the parser's preferred body of its message
         T.StructField("text", T.StringType()),  # decoded with the declared charset: possible bodies only
         T.StructField("text_error", T.StringType()),  # counts only if this text is used
+        T.StructField("same_text", T.BooleanType()),  # ``text`` would repeat ``raw_text`` and is left out
         T.StructField("raw_text", T.StringType()),  # decoded as UTF-8: text parts and undivided messages
         T.StructField("source", T.StringType()),  # embedded messages as source, on request
     ]
@@ -79,12 +80,18 @@ def parse_mail(
     content_col: str = "content",
     keep: Sequence[str] = ("msg_id",),
     with_source: bool = False,
+    recipients: Sequence[str] = (),
+    with_texts: bool = True,
 ) -> DataFrame:
     """The ``keep`` columns with ``parts`` (see :data:`PART`), ``to_addrs`` (lower-case addresses of
-    the outer mail), ``source`` (the outer mail as text, only ``with_source``) and ``error``.
+    the outer mail; null if they are not known), ``source`` (the outer mail as text, only
+    ``with_source``) and ``error``.
 
-    One row per mail in, one row per mail out: a mail and its parts are never shuffled."""
+    One row per mail in, one row per mail out: a mail and its parts are never shuffled. With
+    ``recipients``, mail to none of them is left out and read no further than its headers; mail whose
+    recipients cannot be read stays, with an error. Without ``with_texts`` no body is built or sent."""
     keep = list(keep)
+    wanted = frozenset(r.lower() for r in recipients)
     added = [
         T.StructField("parts", PARTS),
         T.StructField("to_addrs", T.ArrayType(T.StringType())),
@@ -98,24 +105,26 @@ def parse_mail(
         rules = _caching_policy()
         for batch in batches:
             content = batch.column(len(keep))
-            start, pending, size = 0, [], 0
+            taken, pending, size = [], [], 0
             for row in range(batch.num_rows):
                 raw = content[row].as_py()
-                pending.append(_read_mail(raw, rules, with_source))
-                size += len(raw or b"")
-                if size >= _FLUSH_BYTES or row + 1 == batch.num_rows:
-                    kept = [batch.column(i).slice(start, len(pending)) for i in range(len(keep))]
+                found = _read_mail(raw, rules, with_source, wanted, with_texts)
+                if found is not None:
+                    taken.append(row)
+                    pending.append(found)
+                    size += len(raw or b"")
+                if pending and (size >= _FLUSH_BYTES or row + 1 == batch.num_rows):
+                    kept = [batch.column(i).take(pa.array(taken, pa.int64())) for i in range(len(keep))]
                     yield _to_batch(keep, kept, pending)
-                    start, pending, size = row + 1, [], 0
+                    taken, pending, size = [], [], 0
 
     return picked.mapInArrow(run, schema)
 
 
 def explode_parts(parsed: DataFrame, keep: Sequence[str] = ("msg_id",)) -> DataFrame:
     """One row per part, in the order of ``visit_no``; an unreadable mail keeps one row with its error."""
-    return parsed.select(*keep, "error", F.explode_outer("parts").alias("part")).select(
-        *keep, "part.*", "error"
-    )
+    rows = parsed.select(*keep, "error", F.explode_outer("parts").alias("part")).select(*keep, "part.*", "error")
+    return rows.withColumn("text", F.when(F.col("same_text"), F.col("raw_text")).otherwise(F.col("text"))).drop("same_text")
 
 
 def _to_batch(names: list[str], kept: list[pa.Array], rows: list[tuple]) -> pa.RecordBatch:
@@ -148,17 +157,28 @@ def _caching_policy() -> policy.EmailPolicy:
     return CachingPolicy()
 
 
-def _read_mail(raw: bytes, rules: policy.EmailPolicy, with_source: bool) -> tuple:
+def _read_mail(
+    raw: bytes | None, rules: policy.EmailPolicy, with_source: bool, wanted: frozenset[str], with_texts: bool
+) -> tuple | None:
+    """Parts, addresses, source and error of a mail; nothing if it is addressed to none of the wanted recipients."""
+    to_addrs = None
     try:
         outer = email.message_from_bytes(raw, policy=rules)
         outer.get("From")
-        parts = list(_part_rows(outer, with_source))
-        return parts, _addresses(outer), _whole_source(outer) if with_source else None, None
+        try:
+            to_addrs = _addresses(outer)
+        except Exception as problem:
+            if wanted:
+                return None, None, None, _sendable(f"recipients cannot be read: {problem}")
+        if wanted and wanted.isdisjoint(to_addrs):
+            return None
+        parts = list(_part_rows(outer, with_source, with_texts))
+        return parts, to_addrs, _whole_source(outer) if with_source else None, None
     except Exception as problem:  # any defect of one mail becomes that mail's status
-        return None, None, None, _sendable(str(problem))
+        return None, to_addrs, None, _sendable(str(problem))
 
 
-def _part_rows(outer: EmailMessage, with_source: bool) -> Iterator[dict]:
+def _part_rows(outer: EmailMessage, with_source: bool, with_texts: bool = True) -> Iterator[dict]:
     waiting = [(outer, None, False)]
     visits = messages = 0
     preferred: set[int] = set()
@@ -198,7 +218,7 @@ def _part_rows(outer: EmailMessage, with_source: bool) -> Iterator[dict]:
                 inner, embedded = [email.message_from_bytes(attached, policy=part.policy)], True
                 in_eml = True
             if is_root or kind.startswith("text/"):
-                row.update(_texts(part, is_root, may_be_body))
+                row.update(_texts(part, is_root, may_be_body) if with_texts else _text_errors(part, may_be_body))
         if with_source and "message/rfc822" in kind:
             row["source"] = _source(part)
         yield row
@@ -235,13 +255,24 @@ def _texts(part: EmailMessage, is_root: bool, declared: bool) -> dict:
         return {"raw_text": raw}
     try:
         charset = part.get_param("charset", "ASCII")
-        same = charset in ("utf-8", "UTF-8")
-        text = raw if same else _sendable(data.decode(charset, errors="replace"))
-        return {"raw_text": raw, "text": text}
+        if charset in ("utf-8", "UTF-8"):
+            return {"raw_text": raw, "same_text": True}
+        text = _sendable(data.decode(charset, errors="replace"))
+        return {"raw_text": raw, "same_text": True} if text == raw else {"raw_text": raw, "text": text}
     except Exception as problem:
         return {"raw_text": raw, "text_error": _sendable(str(problem))}
 
 
+def _text_errors(part: EmailMessage, declared: bool) -> dict:
+    """What would be wrong with an undivided part's text, without building it."""
+    try:
+        if declared:
+            b"x".decode(part.get_param("charset", "ASCII"), errors="replace")
+        return {}
+    except Exception as problem:
+        return {"text_error": _sendable(str(problem))}
+
+
 def _whole_source(outer: EmailMessage) -> str | None:
     try:
         return _sendable(str(outer))
@@ -258,14 +289,11 @@ def _source(part: EmailMessage) -> str | None:
 
 def _addresses(message: EmailMessage) -> list[str]:
     found: list[str] = []
-    try:
-        for header in message.get_all("To", []):
-            if _PLAIN_ADDRESS.fullmatch(header):
-                found.append(header.rpartition("<")[2].rstrip(">").lower())
-            else:
-                found.extend(_sendable(a.addr_spec.lower()) for a in header.addresses)
-    except Exception:  # an unreadable To header only means that no recipient is known from it
-        pass
+    for header in message.get_all("To", []):
+        if _PLAIN_ADDRESS.fullmatch(header):
+            found.append(header.rpartition("<")[2].rstrip(">").lower())
+        else:
+            found.extend(_sendable(a.addr_spec.lower()) for a in header.addresses)
     return found
 
 

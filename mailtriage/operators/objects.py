@@ -65,8 +65,8 @@ def missing_objects(requested: DataFrame, objects: DataFrame, on: str = "key") -
 def requested_objects(objects: DataFrame, requested: DataFrame, on: str = "key") -> DataFrame:
     """Stored objects that are asked for, each once. Repeated requests for one key are folded before
     the shuffle, so a key that fills a large part of ``requested`` costs one row per task (the hash
-    beside the key leaves the join its own shuffle, see ``single_responses``). The objects themselves
-    are shuffled only if the requested keys are too many to broadcast."""
+    beside the key leaves the join its own shuffle, see ``single_responses``). The objects' rows
+    are shuffled unless Spark finds one side small enough to broadcast, so they should hold no contents."""
     asked = requested.select(on, F.xxhash64(on).alias("_hash")).distinct().select(on)
     return objects.join(asked, on, "left_semi")
 
@@ -77,5 +77,8 @@ def addressed_to(to_addresses: Column, recipients: Sequence[str]) -> Column:
 
 
 def intake(mail: DataFrame, recipients: Sequence[str]) -> DataFrame:
-    """Mail addressed to one of the recipients; all mail when none is named."""
-    return mail.where(addressed_to(F.col("to_addrs"), recipients)) if recipients else mail
+    """Parsed mail addressed to one of the recipients, or whose recipients are not known (it could not be read, and
+    its error has to be reported); all mail when none is named. Given to ``parse_mail``, the recipients spare the work
+    on other mail."""
+    known = F.col("to_addrs").isNotNull()
+    return mail.where(~known | addressed_to(F.col("to_addrs"), recipients)) if recipients else mail

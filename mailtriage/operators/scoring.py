@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -17,8 +19,10 @@ from mailtriage.templates import fill
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# A scorer takes the JSON request of one message and returns the JSON body of the model's response.
+# A scorer takes the JSON request of one message and returns the JSON body of the model's response. Its factory
+# gets the configured model id, runs once per task, and may be called by several threads' scorers at a time.
 Scorer = Callable[[str], str]
+ScorerFactory = Callable[[str | None], Scorer]
 
 
 class ServiceError(Exception):
@@ -63,20 +67,27 @@ def single_responses(responses: DataFrame, on: str = "msg_id") -> DataFrame:
     return folded.select(on, "_best.body", "_best.error_code")
 
 
-def join_responses(mail: DataFrame, responses: DataFrame, on: str = "msg_id") -> DataFrame:
+def join_responses(mail: DataFrame, responses: DataFrame, on: str = "msg_id", unique: bool = False) -> DataFrame:
     """Adds ``body`` and ``error_code`` from a table of responses; null where there is none. Project
     ``mail`` to the columns still needed first: they go through the shuffle. Which side is broadcast,
-    if any, is left to Spark's size threshold."""
-    return mail.join(single_responses(responses, on), on, "left")
+    if any, is left to Spark's size threshold. ``unique`` promises that no message has two responses:
+    then nothing is folded, and the bodies are shuffled and sorted once, by the join."""
+    single = responses.select(on, "body", "error_code") if unique else single_responses(responses, on)
+    return mail.join(single, on, "left")
 
 
 def score_with(
     requests: DataFrame,
-    make_scorer: Callable[[], Scorer],
+    make_scorer: ScorerFactory,
     keep: Sequence[str] = ("msg_id",),
+    model_id: str | None = None,
+    in_flight: int = 1,
 ) -> DataFrame:
     """The ``keep`` columns with ``body`` and ``error_code`` from the caller's scorer. ``make_scorer``
-    runs once per task, so a client is opened once. Mail without a request is not scored."""
+    gets the model id and runs once per task, so a client is opened once. Up to ``in_flight`` requests of a
+    task wait for their answers at the same time, each in a thread of its own; a scorer must bear that if it is
+    more than one. Whatever a scorer does concerns its mail only: failures, answers that are no text and odd
+    error codes become that mail's error. Mail without a request is not scored."""
     keep = list(keep)
     picked = requests.select(*keep, "request")
     schema = T.StructType(
@@ -89,18 +100,20 @@ def score_with(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            score = score or make_scorer()
-            answers = [_answer(score, request.as_py()) for request in batch.column(len(keep))]
-            bodies, codes = zip(*answers, strict=True)
-            arrays = [
-                *(batch.column(i) for i in range(len(keep))),
-                pa.array(bodies, pa.string()),
-                pa.array(codes, pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "body", "error_code"])
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                score = score or make_scorer(model_id)
+                requests = batch.column(len(keep)).to_pylist()
+                answers = pool.map(functools.partial(_answer, score), requests)
+                bodies, codes = zip(*answers, strict=True)
+                arrays = [
+                    *(batch.column(i) for i in range(len(keep))),
+                    pa.array(bodies, pa.string()),
+                    pa.array(codes, pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, [*keep, "body", "error_code"])
 
     return picked.mapInArrow(run, schema)
 
@@ -109,9 +122,19 @@ def _answer(score: Scorer, request: str | None) -> tuple[str | None, str | None]
     if request is None:
         return None, None
     try:
-        return score(request), None
+        body = score(request)
+        return (_clean(body) if isinstance(body, str) else None), None
     except Exception as problem:  # without a code it counts like a missing response
-        return None, getattr(problem, "service_code", None)
+        try:
+            code = getattr(problem, "service_code", None)
+            return None, None if code is None else _clean(str(code))
+        except Exception:
+            return None, None
+
+
+def _clean(text: str) -> str:
+    """Text that Arrow accepts: lone surrogates become U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def response_value(body: Column) -> Column:
@@ -124,10 +147,17 @@ def string_value(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
+_ANSWER_SCHEMA = "content ARRAY<STRUCT<text: STRING>>"
+
+
 def response_texts(scored: DataFrame) -> DataFrame:
-    """Adds ``text``, the model's answer, to rows with a response ``body``."""
+    """Adds ``text``, the model's answer, to rows with a response ``body``. A body that repeats a key is no
+    variant; there the last value counts."""
     valued = scored.withColumn("_value", response_value(F.col("body")))
-    return valued.withColumn("text", string_value(F.col("_value"))).drop("_value")
+    last = F.get(F.from_json("body", _ANSWER_SCHEMA, {"allowSingleQuotes": "false"})["content"], F.lit(0))["text"]
+    no_variant = F.col("body").isNotNull() & F.try_parse_json("body").isNull()
+    text = F.when(no_variant, last).otherwise(string_value(F.col("_value")))
+    return valued.withColumn("text", text).drop("_value")
 
 
 def scoring_error(error_code: Column, text: Column) -> Column:

@@ -28,12 +28,12 @@ _WHOLE = """
 """
 _PREFERRED = """
     transform(filter(parts, p -> p.body_pref AND p.n_headers > 0 AND p.message_no = chosen.message_no),
-              p -> struct(p.text, p.text_error))
+              p -> struct(IF(p.same_text, p.raw_text, p.text) AS text, p.text_error))
 """
 _PLAIN = """
     transform(filter(parts, p -> p.content_type = 'text/plain'
                      AND IF(chosen.message_no = 0, NOT p.in_eml, p.message_no = chosen.message_no)),
-              p -> struct(p.text, p.text_error))
+              p -> struct(IF(p.same_text, p.raw_text, p.text) AS text, p.text_error))
 """
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from mailtriage.config import TriageConfig
 from mailtriage.operators.report import build_outbox, build_status, build_tickets
@@ -10,20 +13,28 @@ from mailtriage.operators.report import build_outbox, build_status, build_ticket
 TABLES = ("triage", "outbox", "tickets", "status")
 
 
+def batch_folder(out: str, table: str, run: str, batch: int) -> str:
+    """The folder that a batch of a run owns in a table."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", run):
+        raise ValueError(f"a run is named by letters, digits, dots, dashes and underscores, not {run!r}")
+    return f"{out}/{table}/run={run}/batch_id={int(batch)}"
+
+
 def write_outputs(
     triaged: DataFrame,
     cfg: TriageConfig,
     out: str,
     run_ts: Column,
-    batch: int = 0,
+    run: str,
+    batch: int,
     is_html: bool = True,
     id_col: str = "msg_id",
 ) -> None:
     """Write the decided rows once, then derive replies, tickets and outcomes from the written table, so
-    mail is parsed and scored once. Each batch owns one folder per table: writing it again replaces it."""
-
+    mail is parsed and scored once. A batch of a run owns one folder per table: writing it again replaces it, and
+    other runs are not touched. ``run`` names the job for good: a repeat under another name adds its rows again."""
     def folder(table: str) -> str:
-        return f"{out}/{table}/batch_id={batch}"
+        return batch_folder(out, table, run, batch)
 
     triaged.write.mode("overwrite").parquet(folder("triage"))
     decided = triaged.sparkSession.read.schema(triaged.schema).parquet(folder("triage"))
@@ -34,7 +45,14 @@ def write_outputs(
 
 
 def read_output(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """One of the written tables, all batches."""
+    """One of the written tables, all runs and batches, with ``run`` (as text) and ``batch_id``."""
     if table not in TABLES:
         raise ValueError(f"no table {table!r}; there are {', '.join(TABLES)}")
-    return spark.read.parquet(f"{out}/{table}")
+    return read_runs(spark, f"{out}/{table}")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Written runs with ``run`` as text, whatever it looks like, and ``batch_id``."""
+    kinds = {"run": T.StringType(), "batch_id": T.LongType()}
+    fields = [T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in spark.read.parquet(path).schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)

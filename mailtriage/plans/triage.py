@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from mailtriage.config import TriageConfig
 from mailtriage.functions.text import redact
 from mailtriage.operators.mime import parse_mail
-from mailtriage.operators.objects import intake, requested_objects
+from mailtriage.operators.objects import requested_objects
 from mailtriage.operators.report import goes_to_catch_all, reply_subject
 from mailtriage.operators.scoring import (
-    Scorer,
+    ScorerFactory,
     build_prompts,
     build_requests,
     join_responses,
@@ -21,11 +21,16 @@ from mailtriage.operators.scoring import (
 )
 from mailtriage.operators.selection import assemble_mail
 from mailtriage.operators.verdicts import judge_responses
+from mailtriage.sources.mail import read_objects
+from mailtriage.sources.notifications import parse_notifications
 
 
-def read_mail(mail: DataFrame, cfg: TriageConfig, id_col: str = "msg_id") -> DataFrame:
-    """Raw mail (``content``) after the intake filter, assembled: see ``assemble_mail``."""
-    parsed = intake(parse_mail(mail, keep=(id_col,)), cfg.recipients)
+def read_mail(
+    mail: DataFrame, cfg: TriageConfig, id_col: str = "msg_id", with_texts: bool = True
+) -> DataFrame:
+    """Raw mail (``content``) after the intake filter, assembled: see ``assemble_mail``. Without ``with_texts`` only
+    headers count, and ``body`` and ``envelope`` are left empty."""
+    parsed = parse_mail(mail, keep=(id_col,), recipients=cfg.recipients, with_texts=with_texts)
     return assemble_mail(parsed, cfg.catch_all, keep=(id_col,))
 
 
@@ -41,36 +46,58 @@ def land_mail(mail: DataFrame, cfg: TriageConfig, path: str, id_col: str = "msg_
 def requests_for(
     assembled: DataFrame, cfg: TriageConfig, run_date: Column | None = None, id_col: str = "msg_id"
 ) -> DataFrame:
-    """``request`` per mail that can be processed, for scoring it elsewhere."""
+    """``request`` and ``model_id`` per mail that can be processed, for scoring it elsewhere."""
     prompts = build_prompts(assembled, F.current_date() if run_date is None else run_date, cfg)
-    return build_requests(prompts, cfg).where(F.col("request").isNotNull()).select(id_col, "request")
+    return build_requests(prompts, cfg).where(F.col("request").isNotNull()).select(
+        id_col, "request", F.lit(cfg.model_id).cast("string").alias("model_id")
+    )
+
+
+def light_mail(assembled: DataFrame, cfg: TriageConfig, id_col: str = "msg_id") -> DataFrame:
+    """What a decision needs of a mail beside its answer: the reply address, the subject, the error and, only where
+    a ticket is due, the redacted text."""
+    due = goes_to_catch_all(F.col("reply_to"), cfg) & F.lit(cfg.tickets_enabled)
+    mail = assembled.withColumn("ticket_text", F.when(due, redact(F.col("envelope"))))
+    return mail.select(id_col, "reply_to", "subject", "ticket_text", "error")
 
 
 def decide(
     assembled: DataFrame,
     cfg: TriageConfig,
     responses: DataFrame | None = None,
-    make_scorer: Callable[[], Scorer] | None = None,
+    make_scorer: ScorerFactory | None = None,
     run_date: Column | None = None,
     id_col: str = "msg_id",
+    unique: bool = False,
 ) -> DataFrame:
     """One row per assembled mail: ``reply_to``, ``reply_subject``, ``is_phishing``, ``label``,
     ``analysis``, ``score_error``, ``ticket_text`` and ``error``.
 
     Answers come from a ``responses`` table (``msg_id, body, error_code``) or from the caller's scorer.
-    The table is joined after each mail has shrunk to its reply address, subject and, only where a
-    ticket is due, its redacted text: bodies of other mails are not shuffled. With a scorer nothing is
-    shuffled at all."""
+    The table is joined after each mail has shrunk to what :func:`light_mail` keeps: bodies of other mails
+    are not shuffled. ``unique`` promises at most one response per mail, as in a table that ``score_with``
+    wrote. With a scorer nothing is shuffled at all."""
     if (responses is None) == (make_scorer is None):
         raise ValueError("give either a responses table or a scorer")
-    light = (id_col, "reply_to", "subject", "ticket_text", "error")
+    light = light_mail(assembled, cfg, id_col)
+    if make_scorer is None:
+        return decide_light(light, cfg, responses, id_col, unique)
     due = goes_to_catch_all(F.col("reply_to"), cfg) & F.lit(cfg.tickets_enabled)
     mail = assembled.withColumn("ticket_text", F.when(due, redact(F.col("envelope"))))
-    if make_scorer is not None:
-        prompts = build_prompts(mail, F.current_date() if run_date is None else run_date, cfg)
-        scored = score_with(build_requests(prompts, cfg), make_scorer, keep=light)
-    else:
-        scored = join_responses(mail.select(*light), responses, on=id_col)
+    prompts = build_prompts(mail, F.current_date() if run_date is None else run_date, cfg)
+    requests = build_requests(prompts, cfg)
+    return _decided(score_with(requests, make_scorer, light.columns, cfg.model_id, cfg.in_flight), id_col)
+
+
+def decide_light(
+    light: DataFrame, cfg: TriageConfig, responses: DataFrame, id_col: str = "msg_id", unique: bool = False
+) -> DataFrame:
+    """Decisions for rows of :func:`light_mail`."""
+    kept = light.select(id_col, "reply_to", "subject", "ticket_text", "error")
+    return _decided(join_responses(kept, responses, id_col, unique), id_col)
+
+
+def _decided(scored: DataFrame, id_col: str) -> DataFrame:
     judged = judge_responses(scored)
     ok = F.col("error").isNull()
     return judged.select(
@@ -87,23 +114,62 @@ def triage(
     mail: DataFrame,
     cfg: TriageConfig,
     responses: DataFrame | None = None,
-    make_scorer: Callable[[], Scorer] | None = None,
+    make_scorer: ScorerFactory | None = None,
     run_date: Column | None = None,
     id_col: str = "msg_id",
+    unique: bool = False,
 ) -> DataFrame:
     """From raw mail to decided rows in one plan: see :func:`decide`."""
-    return decide(read_mail(mail, cfg, id_col), cfg, responses, make_scorer, run_date, id_col)
+    return decide(read_mail(mail, cfg, id_col), cfg, responses, make_scorer, run_date, id_col, unique)
 
 
 def replay(
-    mail: DataFrame,
+    listing: DataFrame,
     requested: DataFrame,
     cfg: TriageConfig,
     responses: DataFrame | None = None,
-    make_scorer: Callable[[], Scorer] | None = None,
+    make_scorer: ScorerFactory | None = None,
     run_date: Column | None = None,
     id_col: str = "msg_id",
+    read: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Triage of the stored mail that is asked for. Missing objects: see ``missing_objects``."""
-    picked = requested_objects(mail, requested, on=id_col)
-    return triage(picked, cfg, responses, make_scorer, run_date, id_col)
+    """Triage of the stored mail that is asked for. The requests meet the ``listing`` (``id_col, path``), which
+    holds no content; only what is left is opened, by ``read`` or else by :func:`read_objects`. ``read`` gets the
+    picked rows of the listing and adds ``content``. Missing objects: see ``missing_objects``."""
+    if "content" in listing.columns:
+        raise ValueError("replay needs a listing without contents")
+    picked = requested_objects(listing, requested, on=id_col)
+    found = read(picked) if read else read_objects(picked, keep=(id_col,))
+    return triage(found, cfg, responses, make_scorer, run_date, id_col)
+
+
+def triage_notifications(
+    events: DataFrame,
+    cfg: TriageConfig,
+    locate: Callable[[Column, Column], Column],
+    responses: DataFrame | None = None,
+    make_scorer: ScorerFactory | None = None,
+    run_date: Column | None = None,
+    id_col: str = "msg_id",
+    event_col: str = "event",
+    tasks: int | None = None,
+) -> DataFrame:
+    """One decided row for each notification. ``locate`` makes the path of an object from its bucket and key. An
+    event that cannot be read, or whose object cannot, has the reason as its ``error``, which ``build_status`` turns
+    into a 500. Objects are opened by path, in tasks; nothing is listed."""
+    located = parse_notifications(events.select(id_col, event_col), event_col)
+    readable = F.col("error").isNull()
+    asked = located.select(
+        id_col,
+        F.when(readable, locate(F.col("bucket"), F.col("key"))).alias("path"),
+        F.col("error").alias("event_error"),
+    )
+    found = read_objects(asked, keep=(id_col, "event_error"), tasks=tasks)
+    problem = F.coalesce("event_error", "read_error")
+    parsed = parse_mail(
+        found.withColumn("problem", problem),
+        keep=(id_col, "problem"),
+        recipients=cfg.recipients,
+    ).withColumn("error", F.coalesce("problem", "error"))
+    assembled = assemble_mail(parsed, cfg.catch_all, keep=(id_col,))
+    return decide(assembled, cfg, responses, make_scorer, run_date, id_col)

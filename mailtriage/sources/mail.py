@@ -1,13 +1,22 @@
-"""Raw mail objects as a batch scan or an arrival stream, and the listing of a mail store."""
+"""Raw mail objects as a batch scan, an arrival stream or one by one, and the listing of a mail store."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_OPENED_TOGETHER = 64  # objects in one output batch
+
 BINARY_FILE = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -18,15 +27,24 @@ BINARY_FILE = T.StructType(
 )
 
 
-def _object_key(root: str | None) -> Column:
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as scans report it, with scheme and authority."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.makeQualified(found).toString()
+
+
+def object_id(path: Column, root: str | None, spark: SparkSession) -> Column:
+    """The path below ``root``; a path that does not begin with it stays whole."""
     if root is None:
-        return F.col("path")
-    after_root = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
-    return F.when(F.contains(F.col("path"), F.lit(root.rstrip("/") + "/")), after_root).otherwise(F.col("path"))
+        return path
+    start = _qualified(spark, root).rstrip("/") + "/"
+    below = F.substring(path, F.lit(len(start) + 1), F.length(path))
+    return F.when(F.startswith(path, F.lit(start)), below).otherwise(path)
 
 
 def _as_mail(files: DataFrame, root: str | None) -> DataFrame:
-    key = _object_key(root)
+    key = object_id(F.col("path"), root, files.sparkSession)
     return files.select(
         key.alias("msg_id"),
         F.col("length").alias("size"),
@@ -40,13 +58,31 @@ def scan_mail(
 ) -> DataFrame:
     """One row per stored object: ``msg_id`` (path, relative to ``root`` if given), ``size``,
     ``last_modified``, ``content``. Columns that are not used are not read, so a listing never opens
-    a mail. A backfill of a very large store goes prefix by prefix: pass the prefixes as ``paths``."""
+    a mail. The driver holds the listing of what is scanned: a backfill of a very large store goes prefix by prefix, and
+    jobs that know their objects use :func:`read_objects`, which lists nothing."""
     reader = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     )
     return _as_mail(reader.load(paths if isinstance(paths, str) else list(paths)), root)
 
 
+def scan_listing(
+    spark: SparkSession, paths: str | Sequence[str], glob: str = "*", root: str | None = None
+) -> DataFrame:
+    """``msg_id, path, size, last_modified`` of the stored objects: where :func:`read_objects` finds them. No object
+    is opened."""
+    reader = (
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    )
+    files = reader.load(paths if isinstance(paths, str) else list(paths))
+    return files.select(
+        object_id(F.col("path"), root, spark).alias("msg_id"),
+        "path",
+        F.col("length").alias("size"),
+        F.col("modificationTime").alias("last_modified"),
+    )
+
+
 def stream_mail(
     spark: SparkSession, path: str, glob: str = "*", root: str | None = None, max_files: int | None = None
 ) -> DataFrame:
@@ -67,16 +103,46 @@ def listing(mail: DataFrame) -> DataFrame:
     return mail.select(F.col("msg_id").alias("key"), "size", "last_modified")
 
 
-def missing_tasks(scan: DataFrame) -> int | None:
-    """The number of cores if a plain file scan has fewer splits than that, else nothing. Looks at the
-    file listing only; runs no job."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return cores if scan.rdd.getNumPartitions() < cores else None
-
-
-def spread_small_scan(scan: DataFrame) -> DataFrame:
-    """A plain file scan with fewer splits than the cluster has cores, spread evenly over all cores for
-    the CPU-bound work that follows. A scan with enough splits is returned as it is: large inputs are
-    never shuffled for this."""
-    cores = missing_tasks(scan)
-    return scan.repartition(cores) if cores else scan
+def read_objects(
+    wanted: DataFrame, path_col: str = "path", keep: Sequence[str] = ("msg_id",), tasks: int | None = None
+) -> DataFrame:
+    """The ``keep`` columns with ``content`` and ``read_error`` of the objects at ``path_col``, opened one by one in
+    tasks through Arrow's file systems: nothing is listed, and no other object is touched. An object that cannot be
+    read, or a null path, gives a null content and says why. ``tasks`` spreads the paths, never the contents."""
+    keep = list(keep)
+    picked = wanted.select(*keep, F.col(path_col).cast("string").alias("_path"))
+    if tasks:
+        picked = picked.repartition(tasks)
+    added = [T.StructField("content", T.BinaryType()), T.StructField("read_error", T.StringType())]
+    schema = T.StructType([*(picked.schema[name] for name in keep), *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _OPENED_TOGETHER):
+                part = batch.slice(start, _OPENED_TOGETHER)
+                found = [_read_object(path) for path in part.column(len(keep)).to_pylist()]
+                contents, errors = zip(*found, strict=True)
+                arrays = [pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i) for i in range(len(keep))), *arrays], [*keep, "content", "read_error"]
+                )
+
+    return picked.mapInArrow(run, schema)
+
+
+def _read_object(path: str | None) -> tuple[bytes | None, str | None]:
+    if path is None:
+        return None, "no path"
+    try:
+        name = re.sub(r"^s3[an]:", "s3:", path)
+        scheme = re.match(r"([a-z][a-z0-9+.-]*):", name)
+        if scheme is None or scheme[1] == "file":  # a local path is taken as it is, without URL decoding
+            files, name = fs.LocalFileSystem(), re.sub(r"^file:(//)?", "", name)
+        else:
+            files, name = fs.FileSystem.from_uri(name)
+        with files.open_input_stream(name) as stream:
+            return stream.read(), None
+    except FileNotFoundError:
+        return None, f"no such object: {path}"
+    except Exception as problem:
+        return None, f"{type(problem).__name__}: {problem}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mailtriage.config import TriageConfig
-from mailtriage.operators.scoring import Scorer
-from mailtriage.plans.outputs import write_outputs
-from mailtriage.plans.triage import triage
+from mailtriage.operators.scoring import ScorerFactory
+from mailtriage.plans.outputs import batch_folder, write_outputs
+from mailtriage.plans.triage import decide_light, light_mail, read_mail, triage
+
+
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that owns a checkpoint. It stays the same when the query is started again."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
 
 def triage_stream(
@@ -20,28 +26,56 @@ def triage_stream(
     out: str,
     checkpoint: str,
     responses: Callable[[SparkSession], DataFrame] | None = None,
-    make_scorer: Callable[[], Scorer] | None = None,
+    make_scorer: ScorerFactory | None = None,
     run_ts: Column | None = None,
     interval: str | None = None,
     tasks: int | None = None,
     id_col: str = "msg_id",
+    wait: int = 0,
 ) -> StreamingQuery:
     """Start the query. ``arrivals`` is a stream of ``msg_id, content``. ``responses`` is called per
     batch, so that the table is read as it is by then. Without an ``interval`` all mail that is there
     is processed and the query ends. ``tasks`` spreads each batch over that many tasks, for sources
     whose batches have few splits; without it mail is parsed where it is read.
 
-    Each batch runs the batch job on its own rows; the stream itself keeps no state. The checkpoint and
-    the batch folders make a repeated batch replace its output instead of adding to it."""
+    A mail without any response row, not even an error, may ``wait`` for that many later batches in the
+    ``pending`` table before it is answered without one.
+
+    Each batch runs the batch job on its own rows. Its folders are named by the query's id, which the
+    checkpoint keeps, and by its number: a repeated batch replaces its output instead of adding to it, and
+    another query, or this one with a new checkpoint, never touches it. ``run_ts`` dates prompts and
+    tickets; without it a repeated batch is dated anew."""
     if (responses is None) == (make_scorer is None):
         raise ValueError("give either a responses table or a scorer")
+    if wait and responses is None:
+        raise ValueError("only answers from a responses table can be waited for")
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         now = F.current_timestamp() if run_ts is None else run_ts
-        table = None if responses is None else responses(batch.sparkSession)
+        name = run_of(spark, checkpoint)
         mail = batch if tasks is None else batch.repartition(tasks)
-        decided = triage(mail, cfg, table, make_scorer, F.to_date(now), id_col)
-        write_outputs(decided, cfg, out, now, batch_id, id_col=id_col)
+        if not wait:
+            table = None if responses is None else responses(spark)
+            decided = triage(mail, cfg, table, make_scorer, F.to_date(now), id_col)
+            write_outputs(decided, cfg, out, now, name, batch_id, id_col=id_col)
+            return
+        light = light_mail(read_mail(mail, cfg, id_col), cfg, id_col).withColumn("waited", F.lit(0))
+        if batch_id:
+            earlier = spark.read.schema(light.schema).parquet(batch_folder(out, "pending", name, batch_id - 1))
+            light = light.unionByName(earlier.withColumn("waited", F.col("waited") + 1))
+        inbox = batch_folder(out, "inbox", name, batch_id)
+        light.write.mode("overwrite").parquet(inbox)
+        light = spark.read.schema(light.schema).parquet(inbox)
+        table = responses(spark)
+        due = F.col("error").isNotNull() | (F.col("waited") >= wait)
+        known = table.select(id_col).distinct()
+        ready = light.where(due).unionByName(light.where(~due).join(known, id_col, "left_semi"))
+        write_outputs(decide_light(ready, cfg, table, id_col), cfg, out, now, name, batch_id, id_col=id_col)
+        # What is still open goes by what was written: a response that came meanwhile loses no mail.
+        done = spark.read.parquet(batch_folder(out, "triage", name, batch_id)).select(id_col)
+        still = light.join(done, id_col, "left_anti")
+        still.write.mode("overwrite").parquet(batch_folder(out, "pending", name, batch_id))
 
     writer = arrivals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from mailtriage import TriageConfig
 from mailtriage.operators.report import build_status
 from mailtriage.plans.outputs import read_output, write_outputs
-from mailtriage.plans.triage import decide, land_mail, read_mail, replay, requests_for, triage
-from mailtriage.sources.mail import scan_mail, stream_mail
+from mailtriage.plans.triage import decide, land_mail, read_mail, replay, requests_for, triage, triage_notifications
+from mailtriage.sources.mail import read_objects, scan_listing, scan_mail, stream_mail
+from mailtriage.sources.notifications import notification
 from mailtriage.streaming.triage_stream import triage_stream
 
 CFG = TriageConfig(catch_all="all@example.com", ticket_token="t", ticket_owner="o", ticket_repo="r")
@@ -69,7 +71,7 @@ def test_batch(batch):
 def test_scorer_and_table_agree(spark, store, batch):
     answers = [answer_of(i) for i in range(9)]
 
-    def make():
+    def make(model_id):
         def score(request):
             prompt = json.loads(request)["messages"][0]["content"]
             return answers[int(prompt.split("Subject: s")[1].split("\n")[0])]
@@ -98,11 +100,51 @@ def test_landed_mail_is_parsed_once(spark, store, responses, batch, tmp_path):
     assert sorted(tuple(r) for r in decided.drop("error").collect()) == batch
 
 
+def test_requests_carry_the_model_id(spark, store):
+    mail = read_mail(scan_mail(spark, str(store), root=str(store)), CFG)
+    cfg = TriageConfig(catch_all="c", model_id="m-1")
+    assert {r.model_id for r in requests_for(mail, cfg, today()).collect()} == {"m-1"}
+
+
 def test_replay(spark, store, responses):
     asked = spark.createDataFrame([("m1.eml",), ("m4.eml",), ("m1.eml",), ("none",)], "msg_id string")
-    mail = scan_mail(spark, str(store), root=str(store))
-    rows = build_status(replay(mail, asked, CFG, responses)).orderBy("msg_id").collect()
+    listing = scan_listing(spark, str(store), root=str(store))
+    rows = build_status(replay(listing, asked, CFG, responses)).orderBy("msg_id").collect()
     assert [(r.msg_id, r.status) for r in rows] == [("m1.eml", 200), ("m4.eml", 500)]
+    with pytest.raises(ValueError):
+        replay(scan_mail(spark, str(store)), asked, CFG, responses)
+
+
+def test_replay_opens_only_what_is_asked_for(spark, store, responses, big_tables):
+    asked = spark.createDataFrame([("m1.eml",)], "msg_id string")
+    decided = replay(scan_listing(spark, str(store), root=str(store)), asked, CFG, responses)
+    plan = decided._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("LeftSemi")[1].splitlines() if "ReadSchema" in x]
+    assert scans and not any("content" in re.search("ReadSchema: (.*)", x)[1] for x in scans)
+    assert "content" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_objects_are_read_by_path(spark, tmp_path):
+    (tmp_path / "a b%20c").write_bytes(b"found")
+    rows = [(1, f"{tmp_path}/a b%20c"), (2, f"file://{tmp_path}/a b%20c"), (3, f"{tmp_path}/none"), (4, None), (5, str(tmp_path)), (6, "nosuch://x/y")]
+    wanted = spark.createDataFrame(rows, "msg_id int, path string")
+    got = {r.msg_id: (r.content, bool(r.read_error)) for r in read_objects(wanted, tasks=2).collect()}
+    assert got == {1: (b"found", False), 2: (b"found", False), 3: (None, True), 4: (None, True), 5: (None, True), 6: (None, True)}
+
+
+def test_notifications_are_triaged(spark, store, responses):
+    def event(key):
+        return spark.range(1).select(notification(F.lit("box"), F.lit(key)).alias("e")).first().e
+
+    rows = [("m1.eml", event("m1.eml")), ("m4.eml", event("m4.eml")), ("gone", event("gone")), ("empty", '{"Records": []}'), ("bad", "{"), ("null", None)]
+    events = spark.createDataFrame(rows, "msg_id string, event string")
+    for cfg in (CFG, TriageConfig(catch_all="all@example.com", recipients=("scan@x.org",))):
+        decided = triage_notifications(events, cfg, lambda bucket, key: F.concat(F.lit(f"{store}/"), key), responses)
+        got = {r.msg_id: (r.status, r.error) for r in build_status(decided).collect()}
+        assert {k: v[0] for k, v in got.items() if k[0] != "m"} == dict.fromkeys(("gone", "empty", "bad", "null"), 500)
+        assert "no such object" in got["gone"][1] and got["null"][1] == "no object in notification"
+        assert ("m1.eml" in got) == (cfg is CFG)
+    assert got.keys() == {"gone", "empty", "bad", "null"}
 
 
 def test_intake_by_recipient(spark, responses):
@@ -112,6 +154,30 @@ def test_intake_by_recipient(spark, responses):
     assert [r.msg_id for r in triage(mail, cfg, responses).collect()] == ["a"]
 
 
+def test_failed_mail_gets_through_the_intake(spark, responses):
+    """Whoever it was for: it has to be reported."""
+    broken = b'To: scan@x.org\nContent-Type: multipart/mixed; boundary="b"\n\n--b\nContent-Type: text/plain; charset=bogus-1\n\nx\n--b--\n'
+    rows = [("null", None), ("broken", bytearray(broken)), ("other", bytearray(broken.replace(b"scan@", b"other@")))]
+    mail = spark.createDataFrame(rows, "msg_id string, content binary")
+    cfg = TriageConfig(catch_all="c", recipients=("Scan@x.org",))
+    got = {r.msg_id: r.status for r in build_status(triage(mail, cfg, responses)).collect()}
+    assert got == {"null": 500, "broken": 500}
+
+
+def test_unreadable_recipients_are_reported(spark, responses, monkeypatch):
+    from mailtriage.operators import mime
+
+    def fail(message):
+        raise ValueError("odd header")
+
+    monkeypatch.setattr(mime, "_addresses", fail)
+    mail = spark.createDataFrame([("a", bytearray(b"To: x\nSubject: s\n\n"))], "msg_id string, content binary")
+    cfg = TriageConfig(catch_all="c", recipients=("scan@x.org",))
+    got = build_status(triage(mail, cfg, responses)).first()
+    assert got.status == 500 and "odd header" in got.error
+    assert build_status(triage(mail, CFG, responses)).first().status == 200
+
+
 def test_stream_equals_batch(spark, store, responses, batch, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
 
@@ -120,7 +186,7 @@ def test_stream_equals_batch(spark, store, responses, batch, tmp_path):
         triage_stream(arrivals, CFG, out, checkpoint, responses=lambda _: responses, run_ts=now()).awaitTermination()
 
     def written():
-        return sorted(tuple(r) for r in read_output(spark, out, "triage").drop("error", "batch_id").collect())
+        return sorted(tuple(r) for r in read_output(spark, out, "triage").drop("error", "run", "batch_id").collect())
 
     run()
     assert written() == batch
@@ -142,15 +208,52 @@ def test_a_repeated_batch_replaces_its_output(spark, tmp_path, responses):
     mail = spark.createDataFrame([("m1.eml", bytearray(mail_of(1).encode()))], "msg_id string, content binary")
     out = str(tmp_path)
     for _ in range(2):
-        write_outputs(triage(mail, CFG, responses), CFG, out, now(), batch=3)
+        write_outputs(triage(mail, CFG, responses), CFG, out, now(), "007", 3)
     for table in ("triage", "outbox", "status"):
-        assert [(r.msg_id, r.batch_id) for r in read_output(spark, out, table).collect()] == [("m1.eml", 3)]
+        assert [(r.msg_id, r.run, r.batch_id) for r in read_output(spark, out, table).collect()] == [("m1.eml", "007", 3)]
+    write_outputs(triage(mail, CFG, responses), CFG, out, now(), "008", 3)
+    assert read_output(spark, out, "outbox").count() == 2
+    with pytest.raises(ValueError):
+        write_outputs(triage(mail, CFG, responses), CFG, out, now(), "a/b", 3)
+
+
+def test_streams_do_not_replace_each_others_output(spark, store, responses, tmp_path):
+    """Two queries, and one query with a new checkpoint, into the same tables."""
+    out = str(tmp_path / "out")
+    for checkpoint in ("one", "two", "one"):
+        arrivals = stream_mail(spark, str(store), root=str(store))
+        triage_stream(arrivals, CFG, out, str(tmp_path / checkpoint), responses=lambda _: responses, run_ts=now()).awaitTermination()
+    found = read_output(spark, out, "triage")
+    assert found.select("run").distinct().count() == 2
+    assert found.count() == 2 * len(list(store.iterdir()))
+
+
+def test_late_responses_are_waited_for(spark, tmp_path, responses):
+    inbox, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    inbox.mkdir()
+    answered = {0: ["m1.eml"], 1: ["m1.eml", "m3.eml"], 2: ["m1.eml", "m3.eml"]}
+
+    def run(number, name):
+        (inbox / name).write_text(mail_of(int(name[1])))
+        known = responses.where(F.col("msg_id").isin(answered[number]))
+        arrivals = stream_mail(spark, str(inbox), root=str(inbox))
+        triage_stream(arrivals, CFG, out, checkpoint, responses=lambda _: known, run_ts=now(), wait=2).awaitTermination()
+        return {r.msg_id: (r.batch_id, r.score_error is None) for r in read_output(spark, out, "triage").collect()}
+
+    (inbox / "m3.eml").write_text(mail_of(3))
+    (inbox / "m4.eml").write_text(mail_of(4))
+    assert run(0, "m1.eml") == {"m1.eml": (0, True), "m4.eml": (0, True)}  # m4 cannot be processed
+    assert run(1, "m5.eml")["m3.eml"] == (1, True)
+    assert "m5.eml" not in run(2, "m6.eml")
+    answered[3] = []
+    got = run(3, "m7.eml")
+    assert got["m5.eml"] == (3, False) and "m6.eml" not in got
 
 
 def test_any_id_column(spark, tmp_path):
     mail = spark.createDataFrame([(7, bytearray(mail_of(1).encode()))], "number long, content binary")
     responses = spark.createDataFrame([(7, answer_of(1), None)], "number long, body string, error_code string")
-    write_outputs(triage(mail, CFG, responses, id_col="number"), CFG, str(tmp_path), now(), id_col="number")
+    write_outputs(triage(mail, CFG, responses, id_col="number"), CFG, str(tmp_path), now(), "a", 0, id_col="number")
     assert [(r.number, r.subject) for r in read_output(spark, str(tmp_path), "outbox").collect()] == [
         (7, "[PHISHING Detected] s1")
     ]
@@ -200,9 +303,10 @@ def test_a_hot_message_id_is_split_and_kept_whole(spark, tmp_path, big_tables):
 
 def test_a_hot_request_is_folded(spark, tmp_path, big_tables):
     asked = spark.range(20000).selectExpr("if(id % 3 = 0, 'm1.eml', concat('x', id)) as msg_id")
-    mail = spark.createDataFrame([("m1.eml", bytearray(mail_of(1).encode()))], "msg_id string, content binary")
+    (tmp_path / "m1.eml").write_text(mail_of(1))
     responses = spark.createDataFrame([("m1.eml", answer_of(1), None)], "msg_id string, body string, error_code string")
-    assert [r.is_phishing for r in replay(mail, asked, CFG, responses).collect()] == [True]
+    listing = scan_listing(spark, str(tmp_path), root=str(tmp_path))
+    assert [r.is_phishing for r in replay(listing, asked, CFG, responses).collect()] == [True]
 
 
 def test_only_light_columns_are_joined(spark, tmp_path, big_tables):
@@ -221,6 +325,29 @@ def test_only_light_columns_are_joined(spark, tmp_path, big_tables):
     assert names[:3] == ["msg_id", "reply_to", "subject"] and "envelope" not in names[-2:]
 
 
+def test_unique_responses_are_shuffled_once(spark, tmp_path, big_tables):
+    rows = spark.range(10).selectExpr("id as msg_id", "cast('Subject: x' as binary) as content")
+    rows.write.parquet(str(tmp_path / "mail"))
+    rows.selectExpr("msg_id", "'' as body", "'' as error_code").write.parquet(str(tmp_path / "responses"))
+    mail, responses = (spark.read.parquet(str(tmp_path / x)) for x in ("mail", "responses"))
+    plan = triage(mail, CFG, responses, unique=True)._jdf.queryExecution().executedPlan().toString()
+    with_bodies = [x for x in plan.splitlines() if "body#" in x]
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 2
+    assert "Aggregate" not in plan and with_bodies
+
+
+def test_the_plan_does_not_depend_on_the_size_of_the_input(spark, big_tables):
+    from workload.queries import triage_batch
+
+    def shape(sf):
+        plan = triage_batch(spark, f"/root/testdata/{sf}")._jdf.queryExecution().executedPlan().toString()
+        plan = re.sub(r"#\d+L?|plan_id=\d+|sf0\.\d+|x_\d+", "", plan)
+        assert "RoundRobin" not in plan
+        return plan
+
+    assert shape("sf0.001") == shape("sf0.01")
+
+
 def test_filters_do_not_repeat_the_selection(spark):
     mail = spark.createDataFrame([("m", bytearray(b"From: a@b.co\n\nx"))], "msg_id string, content binary")
     kept = read_mail(mail, CFG).where("error is null and reply_to = 'a@b.co'")

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailtriage.operators import objects as o
-from mailtriage.sources.mail import listing, scan_mail, spread_small_scan
+from mailtriage.sources.mail import listing, scan_mail
 from mailtriage.sources.notifications import build_notifications, notification, parse_notifications
-from mailtriage.sources.workspace import workspace
+from mailtriage.sources.workspace import shared_folder, workspace
+from workload import samples
 
 
 @pytest.fixture(scope="module")
@@ -51,8 +52,9 @@ def test_existence(spark, stored):
 
 def test_intake(spark):
     mail = spark.createDataFrame([(1, ["a@x.org", "b@x.org"]), (2, ["c@x.org"]), (3, [])], "i int, to_addrs array<string>")
-    assert [r.i for r in o.intake(mail, ["B@x.org", "z@x.org"]).collect()] == [1]
-    assert o.intake(mail, []).count() == 3
+    mail = mail.union(spark.createDataFrame([(4, None)], mail.schema))
+    assert [r.i for r in o.intake(mail, ["B@x.org", "z@x.org"]).collect()] == [1, 4]
+    assert o.intake(mail, []).count() == 4
 
 
 def test_notifications(spark, stored):
@@ -104,14 +106,44 @@ def test_workspace_is_in_the_shared_folder(spark):
     assert shared is None or one.startswith(shared)
 
 
-def test_only_small_scans_are_spread(spark, tmp_path):
-    spark.range(1000).repartition(1).write.parquet(str(tmp_path / "one"))
-    spark.range(1000).repartition(8).write.parquet(str(tmp_path / "many"))
-    one = spark.read.parquet(str(tmp_path / "one"))
-    assert spread_small_scan(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf({"spark.master": master})
+
+    with pytest.raises(ValueError):
+        shared_folder(Session("yarn"))
+    with pytest.raises(ValueError):
+        shared_folder(Session("local-cluster[2,1,512]"))
+    local = Session("local[2]")
+    assert shared_folder(local) == shared_folder(local)
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_only_the_root_at_the_front_is_cut_off(spark, tmp_path, scheme):
+    root = tmp_path / "mail"
+    for year in ("2024", "2025"):
+        (root / year / "mail").mkdir(parents=True)
+        (root / year / "mail" / "a.eml").write_bytes(year.encode())
+    mail = scan_mail(spark, str(root), root=f"{scheme}{root}/")
+    assert {r.msg_id for r in mail.collect()} == {"2024/mail/a.eml", "2025/mail/a.eml"}
+    inner = scan_mail(spark, str(root), root=f"{scheme}{root}/2024")
+    ids = {r.msg_id for r in inner.collect()}
+    assert "mail/a.eml" in ids and any(i.endswith("/mail/2025/mail/a.eml") for i in ids)
+    assert {r.msg_id for r in scan_mail(spark, str(root), root="/mail").collect()} == {f"file:{root}/{y}/mail/a.eml" for y in ("2024", "2025")}
+
+
+def test_scans_are_spread_only_on_request(spark):
+    def plan():
+        return samples.documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan()
+    spark.conf.set(samples.TASKS, "3")
     try:
-        many = spark.read.parquet(str(tmp_path / "many"))
-        assert spread_small_scan(many) is many
+        assert "RoundRobinPartitioning(3)" in plan()
     finally:
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset(samples.TASKS)

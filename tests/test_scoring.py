@@ -45,6 +45,8 @@ def test_response_text(spark):
         '{"content":{"text":"a"}}': None,
         "{'content':[{'text':'a'}]}": None,
         "{bad": None,
+        '{"content":[{"text":"PHISHING"}],"a":1,"a":2}': "PHISHING",
+        '{"content":[{"text":"CLEAN"}],"content":[{"text":"x","text":"PHISHING"}]}': "PHISHING",
     }
     rows = spark.createDataFrame([(b,) for b in bodies], "body string")
     assert {r.body: r.text for r in sc.response_texts(rows).collect()} == bodies
@@ -71,7 +73,7 @@ def test_repeated_responses_give_one_answer(spark):
 def test_scorer_is_made_once_per_task(spark, tmp_path):
     log = str(tmp_path)
 
-    def make():
+    def make(model_id):
         import tempfile
 
         tempfile.mkstemp(dir=log)
@@ -95,3 +97,44 @@ def test_scorer_is_made_once_per_task(spark, tmp_path):
         102: (None, None),
     }
     assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_odd_scorers_do_not_end_the_job(spark):
+    def make(model_id):
+        class Odd(Exception):
+            def __str__(self):
+                raise ValueError("no text")
+
+        def score(request):
+            if request == "code":
+                problem = OSError("busy")
+                problem.service_code = 429
+                raise problem
+            if request == "worse":
+                problem = OSError("busy")
+                problem.service_code = Odd()
+                raise problem
+            return {"dict": {"a": 1}, "surrogate": "x\ud800y", "none": None, "bytes": b"x", "model": model_id}[request]
+
+        return score
+
+    names = ["dict", "surrogate", "none", "bytes", "code", "worse", "missing", "model"]
+    requests = spark.createDataFrame([(n, n) for n in names], "msg_id string, request string")
+    got = {r.msg_id: (r.body, r.error_code) for r in sc.score_with(requests, make, model_id="m-1").collect()}
+    assert got == {**dict.fromkeys(names, (None, None)), "surrogate": ("x\ufffdy", None), "code": (None, "429"), "model": ("m-1", None)}
+
+
+def test_requests_wait_together(spark):
+    def make(model_id):
+        import threading
+
+        meet = threading.Barrier(4, timeout=20)
+
+        def score(request):
+            meet.wait()
+            return request
+
+        return score
+
+    requests = spark.createDataFrame([(i, str(i)) for i in range(8)], "msg_id int, request string").coalesce(1)
+    assert {r.msg_id: r.body for r in sc.score_with(requests, make, in_flight=4).collect()} == {i: str(i) for i in range(8)}

@@ -273,6 +273,12 @@ _NESTED = f"{lit('Subject: Fwd\nMIME-Version: 1.0\nContent-Type: message/rfc822\
 # Spark breaks base64 text into lines of 76 characters.
 _BASE64 = rf"rtrim(regexp_replace(to_base64(encode({_PLAIN})), '(.{{76}})', '\1' || chr(13) || chr(10), 'g'), chr(13) || chr(10))"
 
+# Text that is not ASCII is written again in base64, in lines of 76 characters.
+_REWRITTEN = (
+    f"({_HEADERS} || {lit('\nMIME-Version: 1.0\nContent-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: base64\n\n')}"
+    rf" || rtrim(regexp_replace(to_base64(encode(body)), '(.{{76}})', '\1' || {NL}, 'g'), {NL}) || {NL})"
+)
+
 ORACLE: dict[str, str] = {
     "email_scan": f"""
         WITH {MAIL},
@@ -348,12 +354,43 @@ ORACLE: dict[str, str] = {
             ELSE body END AS preview
         FROM mail""",
     "text_parts": f"""
-        WITH {MAIL}
+        WITH {MAIL},
+        written AS (SELECT *, CASE WHEN regexp_matches(body, '[^\\x00-\\x7F]') THEN {_REWRITTEN} ELSE {_PLAIN} END AS source
+                    FROM mail)
         SELECT msg_id, CASE WHEN shape IN (0, 2) THEN body
             WHEN shape = 1 THEN body || {NL} || '<p>' || lang || '</p>'
             WHEN shape = 4 THEN 'please check'
-            ELSE 'please check' || {NL} || body END AS dump
-        FROM mail""",
+            WHEN shape = 3 THEN 'please check' || {NL} || source || {NL} || body
+            ELSE {_wrapped("Content-Type: message/rfc822", "source")} || {NL} || 'please check' || {NL} || source
+                 || {NL} || body END AS dump
+        FROM written""",
+    "raw_dump": f"""
+        WITH {MAIL.replace("text AS body", "regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS body")}
+        SELECT msg_id, CASE shape WHEN 0 THEN {_PLAIN} WHEN 1 THEN {_BOTH} WHEN 2 THEN {_HTML} WHEN 3 THEN {_MESSAGE}
+                   WHEN 4 THEN replace({_FILE}, chr(13), '') ELSE {_NESTED} END AS dump
+        FROM (SELECT *, {_BASE64} AS payload FROM mail)""",
+    "edge_mail": f"""
+        SELECT doc_id AS msg_id,
+               CASE doc_id % 6 WHEN 2 THEN {CATCH_ALL} WHEN 4 THEN 'a@x.org'
+                    ELSE 'user' || doc_id || '@example.com' END AS reply_to,
+               CASE doc_id % 6 WHEN 2 THEN 'N/A' WHEN 4 THEN 'a@x.org'
+                    ELSE 'user' || doc_id || '@example.com' END AS sender,
+               CASE doc_id % 6 WHEN 2 THEN 'N/A' WHEN 4 THEN 'b@x.org' ELSE '{s.RECIPIENT}' END AS recipient,
+               CASE doc_id % 6 WHEN 2 THEN 'No Subject Detected' WHEN 4 THEN 'Übung ' || doc_id ELSE 'Fwd' END AS subject,
+               CASE doc_id % 6 WHEN 0 THEN 'please check' WHEN 1 THEN text || lang WHEN 5 THEN 'please check'
+                    WHEN 3 THEN regexp_replace(text, '[^\\x00-\\x7F]', chr(65533), 'g') ELSE text END AS body
+        FROM documents""",
+    "notification_status": """
+        SELECT doc_id AS msg_id, CASE WHEN doc_id % 4 IN (1, 2) THEN 500 ELSE 200 END AS status FROM documents""",
+    "intake_status": """
+        SELECT doc_id AS msg_id, CASE WHEN doc_id % 5 = 0 THEN 500 ELSE 200 END AS status
+        FROM documents WHERE doc_id % 5 = 0 OR doc_id % 6 IN (3, 4)""",
+    "score_hook": """
+        SELECT doc_id AS msg_id, doc_id % 4 = 0 AS is_phishing,
+               CASE doc_id % 4 WHEN 0 THEN 'PHISHING' WHEN 1 THEN 'CLEAN' ELSE '' END AS label,
+               CASE doc_id % 4 WHEN 2 THEN 'Error: Unexpected error occurred during email classification.'
+                    WHEN 3 THEN 'Error: Unable to process the email content. (429)' END AS score_error
+        FROM documents""",
     "prompt_table": f"""
         WITH {MAIL}
         SELECT msg_id, {fill(PROMPT_TEMPLATE, today="'March 05, 2024'", mail="envelope")} AS prompt
@@ -415,6 +452,11 @@ ORACLE: dict[str, str] = {
                reply_subject AS subject, html AS body_html, {plain_text("html")} AS body_text,
                'AWS-SES-Send-Email' AS config_set
         FROM replies""",
+    "outbox_text": f"""
+        WITH {TRIAGE}
+        SELECT msg_id, reply_to AS recipient, reply_subject AS subject, NULL::VARCHAR AS body_html,
+               {report('is_phishing', 'analysis')} AS body_text
+        FROM triaged""",
     "sender_default": """
         SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || '@example.org'
                             WHEN doc_id % 2 = 0 THEN 'noreply@' || source || '.example.net'

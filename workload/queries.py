@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +14,9 @@ from mailtriage.functions import text as t
 from mailtriage.functions import verdict as v
 from mailtriage.operators import mime, objects, report, scoring, selection, verdicts
 from mailtriage.plans.outputs import read_output
-from mailtriage.plans.triage import read_mail, replay, triage
+from mailtriage.plans.triage import read_mail, replay, triage, triage_notifications
 from mailtriage.sources import notifications
-from mailtriage.sources.mail import missing_tasks
+from mailtriage.sources.mail import scan_listing
 from mailtriage.sources.workspace import workspace
 from mailtriage.streaming.triage_stream import triage_stream
 from workload import samples as s
@@ -42,9 +44,9 @@ def triage_stream_query(spark: SparkSession, sf: str) -> DataFrame:
         f"{out}/checkpoint",
         responses=lambda session: s.responses(session, sf),
         run_ts=s.run_ts(),
-        tasks=missing_tasks(docs),
+        tasks=s.tasks(spark),
     ).awaitTermination()
-    return read_output(spark, out, "triage").drop("batch_id", "error", "ticket_text")
+    return read_output(spark, out, "triage").drop("run", "batch_id", "error", "ticket_text")
 
 
 def object_listing(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,14 +121,74 @@ def replay_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replay_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The requested objects of a mail store, found in its listing and opened one by one."""
+    folder = s.store(spark, sf)
+    number = F.regexp_extract("msg_id", r"^(\d+)\.eml$", 1).cast("long")
+    listing = scan_listing(spark, folder, root=folder).withColumn("msg_id", number)
     asked = objects.present_objects(s.requested(spark, sf), s.objects(spark, sf))
     asked = asked.select(F.col("doc_id").alias("msg_id"))
-    decided = replay(s.mail(spark, sf), asked, s.CONFIG, s.responses(spark, sf))
+    decided = replay(listing.select("msg_id", "path"), asked, s.CONFIG, s.responses(spark, sf))
     return report.build_status(decided).drop("error")
 
 
+def notification_status(spark: SparkSession, sf: str) -> DataFrame:
+    """A notification for every document: of its stored mail, without any record, or of an object that is not stored."""
+    folder = s.store(spark, sf)
+    shape, name = F.pmod("doc_id", F.lit(4)), F.concat(F.col("doc_id").cast("string"), F.lit(".eml"))
+    event = (
+        F.when(shape == 1, F.lit('{"Records": []}'))
+        .when(shape == 2, notifications.notification(F.lit(s.BUCKET), F.concat(name, F.lit(".gone"))))
+        .otherwise(notifications.notification(F.lit(s.BUCKET), name))
+    )
+    events = s.table(spark, sf, "documents").select(F.col("doc_id").alias("msg_id"), event.alias("event"))
+
+    def locate(bucket: Column, key: Column) -> Column:
+        return F.concat(F.lit(f"{folder}/"), key)
+
+    decided = triage_notifications(events, s.CONFIG, locate, s.responses(spark, sf), tasks=s.tasks(spark))
+    return report.build_status(decided).select("msg_id", "status")
+
+
+def intake_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Mail to one recipient; every fifth mail is lost, so that its recipients are not known."""
+    content = F.when(F.pmod("msg_id", F.lit(5)) != 0, F.col("content"))
+    mail = s.mail(spark, sf).withColumn("content", content)
+    cfg = replace(s.CONFIG, recipients=(s.RECIPIENT,))
+    return report.build_status(triage(mail, cfg, s.responses(spark, sf), unique=True)).select("msg_id", "status")
+
+
+def score_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """A scorer in the job that answers by the number in the subject: right, as no text, or with a refusal."""
+
+    def make_scorer(model_id: str | None) -> Callable[[str], str]:
+        def score(request: str) -> str:
+            subject = json.loads(request)["messages"][0]["content"].split("Subject: doc ")[1]
+            shape = int(subject.split(" ")[0]) % 4
+            if shape == 3:
+                problem = RuntimeError("too many requests")
+                problem.service_code = 429
+                raise problem
+            answer = f"PHISHING by {model_id} \ud800" if shape == 0 else "CLEAN"
+            body = {"content": [{"type": "text", "text": answer}]}
+            return body if shape == 2 else json.dumps(body, ensure_ascii=False)
+
+        return score
+
+    cfg = replace(s.CONFIG, model_id="example-model", in_flight=4)
+    decided = triage(s.mail(spark, sf), cfg, make_scorer=make_scorer, run_date=s.run_date())
+    return decided.select("msg_id", "is_phishing", "label", "score_error")
+
+
+def edge_mail(spark: SparkSession, sf: str) -> DataFrame:
+    assembled = read_mail(s.edge_mail(spark, sf), s.CONFIG)
+    return assembled.select(
+        "msg_id", "reply_to", F.col("from").alias("sender"), F.col("to").alias("recipient"), "subject", "body"
+    )
+
+
 def recipient_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return objects.intake(mime.parse_mail(s.mail(spark, sf)), [s.RECIPIENT]).select("msg_id")
+    parsed = mime.parse_mail(s.mail(spark, sf), recipients=[s.RECIPIENT], with_texts=False)
+    return parsed.select("msg_id")
 
 
 def email_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +209,7 @@ def email_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def original_message(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = selection.select_original(mime.parse_mail(s.mail(spark, sf)))
+    chosen = selection.select_original(mime.parse_mail(s.mail(spark, sf), with_texts=False))
     return chosen.select(
         "msg_id",
         F.col("chosen.message_no").alias("message_no"),
@@ -160,14 +222,18 @@ def _mail(spark: SparkSession, sf: str) -> DataFrame:
     return read_mail(s.mail(spark, sf), s.CONFIG)
 
 
+def _headers(spark: SparkSession, sf: str) -> DataFrame:
+    return read_mail(s.mail(spark, sf), s.CONFIG, with_texts=False)
+
+
 def mail_headers(spark: SparkSession, sf: str) -> DataFrame:
-    return _mail(spark, sf).select(
+    return _headers(spark, sf).select(
         "msg_id", F.col("from").alias("sender"), F.col("to").alias("recipient"), "subject"
     )
 
 
 def reply_address(spark: SparkSession, sf: str) -> DataFrame:
-    return _mail(spark, sf).select("msg_id", "reply_to")
+    return _headers(spark, sf).select("msg_id", "reply_to")
 
 
 def mail_body(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,7 +249,14 @@ def body_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.text_dump(mime.parse_mail(s.mail(spark, sf))).drop("error")
+    return selection.text_dump(mime.parse_mail(s.mail(spark, sf), with_source=True)).drop("error")
+
+
+def raw_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """Mail as it would be written again, so of ASCII texts only: others are written in base64."""
+    text = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    mail = s.compose_mail(s.documents(spark, sf).withColumn("text", text))
+    return selection.text_dump(mime.parse_mail(mail, with_source=True), raw=True).drop("error")
 
 
 def prompt_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,7 +347,7 @@ def redact_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _triage(spark: SparkSession, sf: str) -> DataFrame:
-    return triage(s.mail(spark, sf), s.CONFIG, s.responses(spark, sf), run_date=s.run_date())
+    return triage(s.mail(spark, sf), s.CONFIG, s.responses(spark, sf), run_date=s.run_date(), unique=True)
 
 
 def triage_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,7 +355,7 @@ def triage_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catch_all_routed(spark: SparkSession, sf: str) -> DataFrame:
-    routed = _mail(spark, sf).where(report.goes_to_catch_all(F.col("reply_to"), s.CONFIG))
+    routed = _headers(spark, sf).where(report.goes_to_catch_all(F.col("reply_to"), s.CONFIG))
     return routed.select("msg_id", "reply_to", "subject")
 
 
@@ -306,6 +379,10 @@ def processing_status(spark: SparkSession, sf: str) -> DataFrame:
     return report.build_status(triage(mail, s.CONFIG, s.responses(spark, sf)))
 
 
+def outbox_text(spark: SparkSession, sf: str) -> DataFrame:
+    return report.build_outbox(_triage(spark, sf), s.CONFIG, is_html=False).drop("config_set", "sender")
+
+
 def sender_default(spark: SparkSession, sf: str) -> DataFrame:
     doc_id, source = F.col("doc_id"), F.col("source")
     sender = (
@@ -358,6 +435,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tickets": tickets,
     "processing_status": processing_status,
     "outbox": outbox,
+    "outbox_text": outbox_text,
+    "notification_status": notification_status,
+    "intake_status": intake_status,
+    "score_hook": score_hook,
+    "edge_mail": edge_mail,
+    "raw_dump": raw_dump,
     "sender_default": sender_default,
     "triage_batch": triage_batch,
 }

@@ -6,11 +6,15 @@ shape of the mail goes by ``doc_id``. All rows and whole texts are used.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailtriage.config import TriageConfig
-from mailtriage.sources.mail import spread_small_scan
+from mailtriage.sources.workspace import workspace
 
 CONFIG = TriageConfig(
     catch_all="unknown@example.com",
@@ -21,18 +25,30 @@ CONFIG = TriageConfig(
 )
 RECIPIENT = "scan@example.com"
 BUCKET = "mailbox"
+TASKS = "spark.mailtriage.tasks"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int | None:
+    """Over how many tasks the session's owner wants scans spread, whatever their size; none unless it is set."""
+    wanted = spark.conf.get(TASKS, None)
+    return int(wanted) if wanted else None
+
+
+def _spread(scan: DataFrame) -> DataFrame:
+    wanted = tasks(scan.sparkSession)
+    return scan.repartition(wanted) if wanted else scan
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_scan(table(spark, sf_dir, "documents"))
+    return _spread(table(spark, sf_dir, "documents"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_scan(table(spark, sf_dir, "pages"))
+    return _spread(table(spark, sf_dir, "pages"))
 
 
 def run_date() -> Column:
@@ -120,6 +136,62 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose_mail(documents(spark, sf_dir))
 
 
+def edge_mail_content(doc_id: Column, text: Column, lang: Column) -> Column:
+    """Six rarer shapes, by ``doc_id``: a forward without headers, attachments only, no headers that count, a single
+    part in Latin-1, an encoded subject, and an attached mail whose name ends in capitals."""
+    number = doc_id.cast("string")
+    utf8 = 'charset="utf-8"\nContent-Transfer-Encoding: 8bit\n\n'
+    outer = _text("From: user", number, f"@example.com\nTo: {RECIPIENT}\nSubject: Fwd\nMIME-Version: 1.0\n")
+    mixed = 'Content-Type: multipart/mixed; boundary="b"\n\n'
+    note = "--b\nContent-Type: text/plain; " + utf8 + "please check\n"
+    forward = _text(outer, mixed, note, "--b\nContent-Type: message/rfc822\n\n\n", text, "\n--b--\n")
+    attached = "--b\nContent-Disposition: attachment\nContent-Type: text/plain; " + utf8
+    files = _text(outer, mixed, attached, text, "\n", attached, lang, "\n--b--\n")
+    bare = _text("MIME-Version: 1.0\nContent-Type: text/plain; ", utf8, text)
+    latin = _text(outer, 'Content-Type: text/plain; charset="iso-8859-1"\nContent-Transfer-Encoding: 8bit\n\n', text)
+    word = F.base64(F.encode(_text("Übung ", number), "UTF-8"))
+    encoded = _text("From: a@x.org\nTo: b@x.org\nSubject: =?utf-8?b?", word, "?=\nContent-Type: text/plain; ", utf8, text)
+    capitals = _text(
+        outer,
+        mixed,
+        note,
+        '--b\nContent-Type: application/octet-stream\nContent-Disposition: attachment; filename="m.EML"\n\nSubject: no\n\n',
+        text,
+        "\n--b--\n",
+    )
+    shape = F.pmod(doc_id, F.lit(6))
+    return (
+        F.when(shape == 0, F.encode(forward, "UTF-8"))
+        .when(shape == 1, F.encode(files, "UTF-8"))
+        .when(shape == 2, F.encode(bare, "UTF-8"))
+        .when(shape == 3, F.encode(latin, "ISO-8859-1"))
+        .when(shape == 4, F.encode(encoded, "UTF-8"))
+        .otherwise(F.encode(capitals, "UTF-8"))
+    )
+
+
+def edge_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = edge_mail_content(F.col("doc_id"), F.col("text"), F.col("lang"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("msg_id"), content.alias("content"))
+
+
+def store(spark: SparkSession, sf_dir: str) -> str:
+    """A folder that holds the documents' mail as objects ``<doc_id>.eml``, written by the tasks."""
+    folder = workspace(spark, "mail-store")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        files.create_dir(base, recursive=True)
+        for batch in batches:
+            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with files.open_output_stream(f"{base}/{doc_id}.eml") as out:
+                    out.write(content)
+            yield batch.select([0])
+
+    mail(spark, sf_dir).mapInArrow(write, "msg_id long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
 def answer_text(doc_id: Column, text: Column) -> Column:
     """The model's answer to a document's mail: ten variants around its whole text."""
     red, close = "[SECTION]RED FLAGS[/SECTION]\n", "[/SECTION]\n"
