@@ -19,7 +19,7 @@ MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(b"place", i) | 1 for i in range
 class WordHashes(dict):
     """Hash of a word's bytes, remembered; forgotten all at once when there are too many."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
