@@ -100,7 +100,7 @@ def _strings(code: object, value: object) -> set[str] | None:
     """The strings that one element of a parsed pattern stands for, if they are few."""
     if code is op.LITERAL:
         return {_folded(value)}
-    if code is op.IN and all(c is op.LITERAL for c, _ in value) and len(value) <= 4:
+    if code is op.IN and all(c is op.LITERAL for c, _ in value) and len(value) <= 8:
         return {_folded(v) for _, v in value}
     if code is op.SUBPATTERN:
         return _sequence(value[-1])
