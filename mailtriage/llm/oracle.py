@@ -15,6 +15,36 @@ _ENTRIES = _values(
 )
 
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard": r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, list_filter(
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[]
+        ELSE list_distinct(list_transform(range(1, greatest(2, len(words) - 3)),
+                                          lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+    FROM texts
+),
+held AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM sets
+    UNION
+    SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.other = e.a
+)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, min(r.other) AS component_id
+FROM sets s JOIN reached r USING (doc_id)
+GROUP BY s.doc_id, s.shingles
+""",
     "op9_exact_dedup": r"""
 WITH rows AS (
     SELECT doc_id, length(coalesce(text, '')) AS points,
