@@ -8,8 +8,9 @@ hundred words, goes through a fitted logistic curve.
 
 Entries, weights, phrases and the curve are learned from labelled rows whose fold allows it, at most about
 ``sample_labels`` of them, chosen by a hash of the id; the labels are joined by id only, and only the text is an
-input. Starts of words are kept that many toxic and few other documents hold; an entry that adds nothing to a
-shorter one is dropped, and at most ``most_entries`` stay.
+input, each text once. Starts of words are kept that enough toxic and few other documents hold; an entry that adds
+nothing to a shorter one is dropped, so is one that stands beside the same few words again and again (near copies of a
+text are no evidence either), and at most ``most_entries`` stay.
 
 Every row gives one row, repeated rows alike. A null text is empty; an empty text gets the curve's value for no
 match. Of several labels of one id the highest counts; null labels and ids do not. Without toxic training rows the
@@ -170,6 +171,11 @@ def _count(docs: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def fewest(n_toxic: int) -> int:
+    """The toxic texts that have to hold an entry."""
+    return max(3, n_toxic // 200)
+
+
 def choose_entries(
     toxic: Mapping[str, int], other: Mapping[str, int], n_toxic: int, n_other: int, most: int = MOST_ENTRIES
 ) -> dict[str, float]:
@@ -180,7 +186,7 @@ def choose_entries(
             np.log((toxic[term] + 0.5) / (n_toxic + 1)) - np.log((other.get(term, 0) + 0.5) / (n_other + 1))
         )
 
-    least = max(3, n_toxic // 1000)
+    least = fewest(n_toxic)
     kept: dict[str, float] = {}
     for term in sorted((t for t in toxic if toxic[t] >= least), key=lambda t: (len(t), t)):
         w = weight(term)
@@ -207,17 +213,22 @@ def learn(
     share = min(1.0, sample_labels / max(1, known.count()))
     at = F.xxhash64("doc_id").bitwiseAND(0xFFFFFF) / F.lit(float(1 << 24))
     known = known.where(at < share).limit(2 * sample_labels)  # the bound of what is broadcast
-    rows = written(docs.join(F.broadcast(known), "doc_id").select("text", "toxic"), "toxicity-sample")
+    joined = docs.join(F.broadcast(known), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    rows = written(joined, "toxicity-sample")  # each text once: copies are no evidence
     toxic_rows, other_rows = rows.where("toxic > 0"), rows.where("toxic <= 0")
     n_toxic, n_other = toxic_rows.count(), other_rows.count()
     if not n_toxic:
         return Model()
-    frequent = _count(toxic_rows, None).where(F.col("n") >= max(3, n_toxic // 1000))
+    frequent = _count(toxic_rows, None).where(F.col("n") >= fewest(n_toxic))
     candidates = frequent.orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES).collect()
     toxic = {r.term: r.n for r in candidates}
     other = {r.term: r.n for r in _count(other_rows, frozenset(toxic)).collect()}
     weights = choose_entries(toxic, other, n_toxic, n_other, most_entries)
-    phrases = _learn_phrases(rows, weights)
+    beside = _neighbours(rows, weights)
+    spread = beside.where("toxic > 0").groupBy("term").agg(F.count("*").alias("n")).collect()  # a row for each entry
+    sides = {r.term: r.n for r in spread}
+    weights = {e: w for e, w in weights.items() if 2 * sides.get(e, 0) >= toxic[e]}
+    phrases = _phrases(beside.where(F.col("term").isin(*weights)) if weights else beside.where("false"))
     sums = written(rows.mapInArrow(_sums(Model(weights, phrases)), "total double, words long, toxic int"), "toxicity-sums")
     sample = sums.groupBy("total", "words", "toxic").agg(F.count("*").alias("n")).limit(4 * sample_labels).toArrow()
     many = np.repeat(np.arange(len(sample)), sample.column("n").to_numpy())
@@ -227,9 +238,8 @@ def learn(
     return Model(weights, phrases, fit_curve(x, y))
 
 
-def _learn_phrases(rows: DataFrame, weights: Mapping[str, float], least: int = 5) -> dict[str, list[str]]:
-    """Neighbours beside which an entry stands in other documents at least ``least`` times and ten times as often
-    as in toxic ones."""
+def _neighbours(rows: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """``term, side, other, toxic``: how many texts of either kind hold an entry beside a word."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(weights, {})
@@ -251,7 +261,13 @@ def _learn_phrases(rows: DataFrame, weights: Mapping[str, float], least: int = 5
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("other"),
         F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("toxic"),
     )
-    harmless = both.where((F.col("other") >= least) & (F.col("other") >= 10 * F.col("toxic")) & (F.length("side") > 1))
+    return written(both, "toxicity-neighbours")
+
+
+def _phrases(beside: DataFrame, least: int = 5) -> dict[str, list[str]]:
+    """Neighbours beside which an entry stands in other texts at least ``least`` times and ten times as often as in
+    toxic ones."""
+    harmless = beside.where((F.col("other") >= least) & (F.col("other") >= 10 * F.col("toxic")) & (F.length("side") > 1))
     phrases: dict[str, list[str]] = {}
     for r in harmless.orderBy(F.desc("other"), "term", "side").limit(MOST_ENTRIES).collect():
         phrases.setdefault(r.term, []).append(r.side)
