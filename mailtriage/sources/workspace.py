@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -16,11 +17,24 @@ def shared_folder(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    shared = tempfile.mkdtemp(prefix="mailtriage-")
-    spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="mailtriage-")
+
+
+def _of_application(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder path for one run, under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder path for one run, under the application's own folder in the shared one."""
+    return f"{_of_application(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_workspace(spark: SparkSession) -> None:
+    """Delete what the application has kept in the shared folder, once its results are written elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_of_application(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mailtriage.operators import objects as o
 from mailtriage.sources.mail import listing, scan_mail
 from mailtriage.sources.notifications import build_notifications, notification, parse_notifications
-from mailtriage.sources.workspace import shared_folder, workspace
+from mailtriage.sources.workspace import clear_workspace, shared_folder, workspace
 from workload import samples
 
 
@@ -106,6 +106,15 @@ def test_workspace_is_in_the_shared_folder(spark):
     assert shared is None or one.startswith(shared)
 
 
+def test_the_workspace_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("mailtriage.sources.workspace.shared_folder", lambda spark: str(tmp_path))
+    (tmp_path / "other").mkdir()
+    spark.range(3).write.parquet(workspace(spark, "x"))
+    assert len(list(tmp_path.iterdir())) == 2
+    clear_workspace(spark)
+    assert [x.name for x in tmp_path.iterdir()] == ["other"]
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Conf(dict):
         def set(self, key, value):
