@@ -16,7 +16,7 @@ from mailtriage.operators import mime, objects, report, scoring, selection, verd
 from mailtriage.plans.outputs import read_output
 from mailtriage.plans.triage import read_mail, replay, triage, triage_notifications
 from mailtriage.sources import notifications
-from mailtriage.sources.mail import scan_listing
+from mailtriage.sources.mail import scan_listing, scan_mail, stream_mail
 from mailtriage.sources.workspace import workspace
 from mailtriage.streaming.triage_stream import triage_stream
 from workload import samples as s
@@ -26,19 +26,27 @@ MAX_ITEMS = 100
 PREVIEW = 200
 
 
+def _stored_id() -> Column:
+    """The document of a stored object."""
+    return F.regexp_extract("msg_id", r"^(\d+)\.eml$", 1).cast("long")
+
+
 def email_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return s.mail(spark, sf).select(
-        "msg_id", F.length("content").alias("size"), F.md5("content").alias("checksum")
+    """The objects of a mail store, opened by a scan."""
+    folder = s.store(spark, sf)
+    mail = scan_mail(spark, folder, "*.eml", folder)
+    return mail.select(
+        _stored_id().alias("msg_id"), F.col("size").cast("int").alias("size"), F.md5("content").alias("checksum")
     )
 
 
 def triage_stream_query(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents as a file stream, triaged batch by batch into tables; the written decisions."""
-    docs = s.table(spark, sf, "documents")
-    arrivals = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents*.parquet")
+    """The objects of a mail store as an arrival stream, triaged batch by batch into tables; the written decisions."""
+    folder = s.store(spark, sf)
+    arrivals = stream_mail(spark, folder, "*.eml", folder).withColumn("msg_id", _stored_id())
     out = workspace(spark, "triage-stream")
     triage_stream(
-        s.compose_mail(arrivals),
+        arrivals,
         s.CONFIG,
         out,
         f"{out}/checkpoint",
@@ -123,8 +131,7 @@ def replay_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def replay_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The requested objects of a mail store, found in its listing and opened one by one."""
     folder = s.store(spark, sf)
-    number = F.regexp_extract("msg_id", r"^(\d+)\.eml$", 1).cast("long")
-    listing = scan_listing(spark, folder, root=folder).withColumn("msg_id", number)
+    listing = scan_listing(spark, folder, root=folder).withColumn("msg_id", _stored_id())
     asked = objects.present_objects(s.requested(spark, sf), s.objects(spark, sf))
     asked = asked.select(F.col("doc_id").alias("msg_id"))
     decided = replay(listing.select("msg_id", "path"), asked, s.CONFIG, s.responses(spark, sf))
