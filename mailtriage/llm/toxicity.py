@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Text is folded before it is matched: lower case, look-alike letters of other scripts and digits or signs that stand
-for letters become plain letters, and letters that are spelled out one by one are joined. Lexicon entries are starts
+for letters become plain letters, and letters that are spelled out one by one are joined. A token is folded once in
+a while and remembered; only texts with a token that matches, or with a spelled-out word, are folded as a whole. Lexicon entries are starts
 of words with a weight, the logarithm of how much likelier a toxic document holds them. Exception phrases, a word
 and its neighbour in which the entry is harmless, take their match back. The sum of the weights, as it is and for a
 hundred words, goes through a fitted logistic curve.
@@ -23,7 +24,7 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -53,7 +54,10 @@ LOOK_ALIKES = {
 }
 _FOLD = str.maketrans(LOOK_ALIKES)
 _WIDE = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)} | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
-_SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_* ][^\W\d_]){3,}(?![^\W_])")
+_DOTTED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*][^\W\d_]){3,}(?![^\W_])")
+_SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){3,}(?!\S)")
+_SPELLED_LEAST = 4
+_REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -63,7 +67,31 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = text.translate(_WIDE)
     text = text.translate(_FOLD)
-    return _SPELLED.sub(lambda m: re.sub(r"[.\-_* ]", "", m[0]), text)
+    text = _DOTTED.sub(lambda m: re.sub(r"[.\-_*]", "", m[0]), text)
+    return _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+
+
+def spelled(tokens: Sequence[str]) -> bool:
+    """Whether a word may be spelled out over several tokens; else folding a text is folding its tokens."""
+    short = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+    run = short[: len(short) - _SPELLED_LEAST + 1]
+    for i in range(1, _SPELLED_LEAST):
+        run = run & short[i : len(short) - _SPELLED_LEAST + 1 + i]
+    return bool(run.any())
+
+
+class PerToken(dict):
+    """A function of a token, remembered; forgotten all at once when there is too much."""
+
+    def __init__(self, work: Callable[[str], object]):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, token: str) -> object:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        value = self[token] = self.work(token)
+        return value
 
 
 @dataclass
@@ -81,6 +109,11 @@ class Matcher:
             self.automaton.add_word(entry, entry)
         if weights:
             self.automaton.make_automaton()
+        self.hit = PerToken(lambda token: any(True for _ in self.matches(fold(token))))
+
+    def may_match(self, tokens: Sequence[str]) -> bool:
+        """Whether a text of these tokens can have a match: most have none, and are folded no further."""
+        return any(map(self.hit.__getitem__, tokens)) or spelled(tokens)
 
     def matches(self, folded: str) -> Iterator[tuple[str, int, int]]:
         """The longest entry at the start of each word: entry, start, end."""
@@ -104,12 +137,15 @@ class Matcher:
 
     def sums(self, text: str) -> tuple[float, int]:
         """Weights of the matches that no exception takes back, and the number of words."""
-        folded, total = fold(text), 0.0
+        tokens, total = text.split(), 0.0
+        if not self.may_match(tokens):
+            return total, len(tokens)
+        folded = fold(text)
         for entry, start, _ in self.matches(folded):
             harmless = self.phrases.get(entry)
             if not harmless or harmless.isdisjoint(self.beside(folded, start)):
                 total += self.weights[entry]
-        return total, len(text.split())
+        return total, len(tokens)
 
 
 def signals(totals: Sequence[tuple[float, int]]) -> np.ndarray:
@@ -143,10 +179,10 @@ def fit_curve(rows: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
         free = [i for i in free if i not in bad]
 
 
-def _starts(text: str) -> set[str]:
+def _starts(text: str) -> frozenset[str]:
     """Words and starts of words of the folded text, each once."""
     words = {w[:LONGEST] for w in _WORD.findall(fold(text))}
-    return {w[:n] for w in words for n in range(min(SHORTEST, len(w)), len(w) + 1) if len(w) >= SHORTEST}
+    return frozenset(w[:n] for w in words for n in range(SHORTEST, len(w) + 1))
 
 
 def _count(docs: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
@@ -159,10 +195,15 @@ def _count(docs: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
             )
 
         found: Counter = Counter()
+        of_token = PerToken(lambda token: _starts(token) if wanted is None else _starts(token) & wanted)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                starts = _starts(text)
-                found.update(starts if wanted is None else starts & wanted)
+                tokens = text.split()
+                if spelled(tokens):
+                    starts = _starts(text)
+                    found.update(starts if wanted is None else starts & wanted)
+                else:
+                    found.update(frozenset().union(*map(of_token.__getitem__, set(tokens))))
             if len(found) > 300_000:
                 yield rows(found)
                 found = Counter()
@@ -246,6 +287,8 @@ def _neighbours(rows: DataFrame, weights: Mapping[str, float]) -> DataFrame:
         for batch in batches:
             found: Counter = Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not matcher.may_match(text.split()):
+                    continue
                 folded = fold(text)
                 found.update(
                     {(e, side, int(toxic > 0)) for e, start, _ in matcher.matches(folded) for side in matcher.beside(folded, start)}

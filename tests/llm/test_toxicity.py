@@ -19,6 +19,8 @@ from mailtriage.llm.tables import fold_of, texts
         ("i.d.i.o.t!", "idiot!"),
         ("id​iot", "idiot"),
         ("a b", "a b"),
+        ("an 1 d 1 o t is", "an idiot is"),
+        ("i. d. i. o. t", "i. d. i. o. t"),
         ("über", "über"),
     ],
 )
@@ -38,6 +40,19 @@ def test_matches_against_plain_search():
         assert sum(weights[e] for e, *_ in matcher.matches(text)) == want
 
 
+def test_folding_tokens_misses_nothing():
+    random.seed(14)
+    matcher = t.Matcher({"idio": 1.0, "idiot": 2.0, "clow": 4.0}, {})
+    alphabet = ["i", "d", "o", "t", "1", "0", "I", "і", ".", "-", "_", " ", " ", "\n", "\t", "c", "l", "w", "\u200b", "é", ",", "idiot", "clown", "x"]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(random.choices(alphabet, k=random.randint(1, 14)))
+        want = sum(matcher.weights[e] for e, *_ in matcher.matches(t.fold(text)))
+        found += want > 0
+        assert matcher.sums(text) == (want, len(text.split())), text
+    assert found > 2000
+
+
 def test_exception_phrases_take_matches_back():
     matcher = t.Matcher({"clown": 5.0}, {"clown": [">fish"]})
     assert matcher.sums("a clown fish") == (0.0, 3)
