@@ -175,8 +175,19 @@ def edge_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(F.col("doc_id").alias("msg_id"), content.alias("content"))
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
 def store(spark: SparkSession, sf_dir: str) -> str:
-    """A folder that holds the documents' mail as objects ``<doc_id>.eml``, written by the tasks."""
+    """A folder that holds the documents' mail as objects ``<doc_id>.eml``, written by the tasks once in an application:
+    the store is there before the jobs that read it."""
+    application = (spark.sparkContext.applicationId, sf_dir)
+    if application not in _STORES:
+        _STORES[application] = _write_store(spark, sf_dir)
+    return _STORES[application]
+
+
+def _write_store(spark: SparkSession, sf_dir: str) -> str:
     folder = workspace(spark, "mail-store")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
