@@ -57,7 +57,8 @@ _WIDE = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)} | {0x200B: None, 0x200C:
 _DOTTED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*][^\W\d_]){3,}(?![^\W_])")
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){3,}(?!\S)")
 _SPELLED_LEAST = 4
-_REMEMBERED = 200_000
+_REMEMBERED = 200_000  # tokens
+_REMEMBERED_STARTS = 20_000  # tokens, each with a set of strings
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -83,12 +84,12 @@ def spelled(tokens: Sequence[str]) -> bool:
 class PerToken(dict):
     """A function of a token, remembered; forgotten all at once when there is too much."""
 
-    def __init__(self, work: Callable[[str], object]):
+    def __init__(self, work: Callable[[str], object], most: int = _REMEMBERED):
         super().__init__()
-        self.work = work
+        self.work, self.most = work, most
 
     def __missing__(self, token: str) -> object:
-        if len(self) >= _REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         value = self[token] = self.work(token)
         return value
@@ -195,7 +196,9 @@ def _count(docs: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
             )
 
         found: Counter = Counter()
-        of_token = PerToken(lambda token: _starts(token) if wanted is None else _starts(token) & wanted)
+        of_token = PerToken(
+            lambda token: _starts(token) if wanted is None else _starts(token) & wanted, _REMEMBERED_STARTS
+        )
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 tokens = text.split()
