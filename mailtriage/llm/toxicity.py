@@ -9,9 +9,12 @@ hundred words, goes through a fitted logistic curve.
 
 Entries, weights, phrases and the curve are learned from labelled rows whose fold allows it, at most about
 ``sample_labels`` of them, chosen by a hash of the id; the labels are joined by id only, and only the text is an
-input, each text once. Starts of words are kept that enough toxic and few other documents hold; an entry that adds
-nothing to a shorter one is dropped, so is one that stands beside the same few words again and again (near copies of a
-text are no evidence either), and at most ``most_entries`` stay.
+input, each text once. Evidence is counted in votes: a text has one for each start of a word it holds, which is the pair
+of words around the first place of it there, and equal votes count once. So near copies of a text add no more votes than
+they have different words beside an entry, and take none away. Starts of words are kept that have at least
+``LEAST_VOTES`` of toxic texts and few of others; an entry that adds nothing to a shorter one is dropped, and at most
+``most_entries`` stay. Texts are counted, and weighed for the curve, by the least hash of three words in a row that they
+hold, which most near copies share; of some hash functions the one is taken that leaves fewest texts. Phrases have one vote for each pair of words around an entry.
 
 Every row gives one row, repeated rows alike. A null text is empty; an empty text gets the curve's value for no
 match. Of several labels of one id the highest counts; null labels and ids do not. Without toxic training rows the
@@ -26,10 +29,12 @@ import sys
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +49,8 @@ MOST_CANDIDATES = 100_000
 THRESHOLD = 0.7
 SHORTEST, LONGEST = 4, 12
 LEAST_WEIGHT = 3.0
+LEAST_VOTES = 3
+SKETCHES = 8
 #: Letters that look like a Latin one, and digits and signs that stand for one.
 LOOK_ALIKES = {
     "а": "a", "α": "a", "ɑ": "a", "@": "a", "4": "a", "в": "b", "ß": "ß", "с": "c", "ϲ": "c", "ԁ": "d", "е": "e", "ε": "e",
@@ -186,8 +193,8 @@ def _starts(text: str) -> frozenset[str]:
     return frozenset(w[:n] for w in words for n in range(SHORTEST, len(w) + 1))
 
 
-def _count(docs: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """``term, n``: the documents that hold each start of a word; all of them, or the wanted ones."""
+def _count(docs: DataFrame) -> DataFrame:
+    """``term, n``: the documents that hold each start of a word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(found: Counter) -> pa.RecordBatch:
@@ -196,15 +203,12 @@ def _count(docs: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
             )
 
         found: Counter = Counter()
-        of_token = PerToken(
-            lambda token: _starts(token) if wanted is None else _starts(token) & wanted, _REMEMBERED_STARTS
-        )
+        of_token = PerToken(_starts, _REMEMBERED_STARTS)
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 tokens = text.split()
                 if spelled(tokens):
-                    starts = _starts(text)
-                    found.update(starts if wanted is None else starts & wanted)
+                    found.update(_starts(text))
                 else:
                     found.update(frozenset().union(*map(of_token.__getitem__, set(tokens))))
             if len(found) > 300_000:
@@ -215,24 +219,117 @@ def _count(docs: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def fewest(n_toxic: int) -> int:
-    """The toxic texts that have to hold an entry."""
-    return max(3, n_toxic // 200)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+class Words:
+    """Words of folded texts as small numbers, with their hashes and the numbers of the wanted starts they have."""
+
+    def __init__(self, wanted: Mapping[str, int]):
+        self.wanted = wanted
+        self.number: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.starts: list[list[int]] = []
+        self.of_token = PerToken(lambda token: self.numbered(fold(token)))
+
+    def numbered(self, folded: str) -> list[int]:
+        found = []
+        for word in _WORD.findall(folded):
+            if word not in self.number:
+                self.number[word] = len(self.hashes)
+                self.hashes.append(xxhash.xxh3_64_intdigest(word))
+                own = (word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1))
+                self.starts.append([self.wanted[t] for t in own if t in self.wanted])
+            found.append(self.number[word])
+        return found
+
+    def of_text(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of the words, their hashes, and the hash of the two words around each."""
+        tokens = text.split()
+        own = self.numbered(fold(text)) if spelled(tokens) else chain.from_iterable(map(self.of_token.__getitem__, tokens))
+        numbers = np.fromiter(own, np.int64)
+        hashes = np.fromiter((self.hashes[n] for n in numbers.tolist()), np.uint64, len(numbers))
+        edge = np.zeros(1, np.uint64)
+        before, after = np.concatenate([edge, hashes[:-1]]), np.concatenate([hashes[1:], edge])
+        return numbers, hashes, _mixed(_mixed(before[: len(hashes)]) + after[: len(hashes)] * np.uint64(0x9E3779B97F4A7C15))
+
+    def votes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The wanted starts, each once, and the hash of the words around their first place."""
+        numbers, _, around = self.of_text(text)
+        first = np.sort(np.unique(numbers, return_index=True)[1])
+        starts = [self.starts[n] for n in numbers[first].tolist()]
+        many = np.fromiter(map(len, starts), np.int64, len(starts))
+        terms, at = np.unique(np.fromiter(chain.from_iterable(starts), np.int64, many.sum()), return_index=True)
+        return terms, np.repeat(around[first], many)[at]
+
+    def sketches(self, text: str) -> list[int]:
+        """The least of the hashes of three words in a row, by each of some hash functions."""
+        _, hashes, around = self.of_text(text)
+        if not len(hashes):
+            return [0] * SKETCHES
+        rows = _mixed(around + hashes)
+        return [int(_mixed(rows * np.uint64(2 * i + 1)).min().astype(np.int64)) for i in range(SKETCHES)]
+
+
+def _sketched(rows: DataFrame) -> DataFrame:
+    """``text, toxic, sketches``"""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words({})
+        for batch in batches:
+            if len(words.number) > _REMEMBERED:
+                words = Words({})
+            sketches = pa.array([words.sketches(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, sketches], names=["text", "toxic", "sketches"])
+
+    return rows.select("text", "toxic").mapInArrow(add, "text string, toxic int, sketches array<long>")
+
+
+def _one_sketch(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """The rows with, of their sketches, the one that most texts of their kind share as ``sketch``, and the different
+    ones of toxic and of other texts."""
+    each = rows.select((F.col("toxic") > 0).alias("kind"), F.posexplode("sketches").alias("i", "sketch"))
+    counted = each.distinct().groupBy("kind", "i").agg(F.count("*").alias("n")).collect()  # two rows for each hash function
+    best = {kind: min(((r.n, r.i) for r in counted if r.kind == kind), default=(0, 0)) for kind in (True, False)}
+    own = F.when(F.col("toxic") > 0, F.col("sketches")[best[True][1]]).otherwise(F.col("sketches")[best[False][1]])
+    return rows.select("text", "toxic", own.alias("sketch")), best[True][0], best[False][0]
+
+
+def _votes(rows: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """``term, toxic, n``: the different votes of either kind of texts, for each of the wanted starts by its place."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = {t: i for i, t in enumerate(wanted)}
+        words = Words(places)
+        for batch in batches:
+            if len(words.number) > _REMEMBERED:
+                words = Words(places)
+            found = [words.votes(t) for t in batch.column(0).to_pylist()]
+            toxic = np.repeat(batch.column(1).to_numpy() > 0, [len(terms) for terms, _ in found])
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 2
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1].astype(np.int64)), pa.array(toxic)],
+                names=["term", "around", "toxic"],
+            )
+
+    found = rows.select("text", "toxic").mapInArrow(gather, "term long, around long, toxic boolean")
+    return found.distinct().groupBy("term", "toxic").agg(F.count("*").alias("n"))
 
 
 def choose_entries(
     toxic: Mapping[str, int], other: Mapping[str, int], n_toxic: int, n_other: int, most: int = MOST_ENTRIES
 ) -> dict[str, float]:
-    """Weights of the starts of words that are kept."""
+    """Weights of the starts of words that are kept; ``toxic, other``: their votes."""
 
     def weight(term: str) -> float:
         return float(
             np.log((toxic[term] + 0.5) / (n_toxic + 1)) - np.log((other.get(term, 0) + 0.5) / (n_other + 1))
         )
 
-    least = fewest(n_toxic)
     kept: dict[str, float] = {}
-    for term in sorted((t for t in toxic if toxic[t] >= least), key=lambda t: (len(t), t)):
+    for term in sorted((t for t in toxic if toxic[t] >= LEAST_VOTES), key=lambda t: (len(t), t)):
         w = weight(term)
         shorter = max((kept.get(term[:n], 0.0) for n in range(SHORTEST, len(term))), default=0.0)
         if w >= LEAST_WEIGHT and w > shorter + 1:
@@ -258,22 +355,20 @@ def learn(
     at = F.xxhash64("doc_id").bitwiseAND(0xFFFFFF) / F.lit(float(1 << 24))
     known = known.where(at < share).limit(2 * sample_labels)  # the bound of what is broadcast
     joined = docs.join(F.broadcast(known), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    rows = written(joined, "toxicity-sample")  # each text once: copies are no evidence
-    toxic_rows, other_rows = rows.where("toxic > 0"), rows.where("toxic <= 0")
-    n_toxic, n_other = toxic_rows.count(), other_rows.count()
+    rows, n_toxic, n_other = _one_sketch(written(_sketched(joined), "toxicity-sample"))  # each text once: copies are no evidence
+    toxic_rows = rows.where("toxic > 0")
     if not n_toxic:
         return Model()
-    frequent = _count(toxic_rows, None).where(F.col("n") >= fewest(n_toxic))
-    candidates = frequent.orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES).collect()
-    toxic = {r.term: r.n for r in candidates}
-    other = {r.term: r.n for r in _count(other_rows, frozenset(toxic)).collect()}
-    weights = choose_entries(toxic, other, n_toxic, n_other, most_entries)
-    beside = _neighbours(rows, weights)
-    spread = beside.where("toxic > 0").groupBy("term").agg(F.count("*").alias("n")).collect()  # a row for each entry
-    sides = {r.term: r.n for r in spread}
-    weights = {e: w for e, w in weights.items() if 2 * sides.get(e, 0) >= toxic[e]}
-    phrases = _phrases(beside.where(F.col("term").isin(*weights)) if weights else beside.where("false"))
-    sums = written(rows.mapInArrow(_sums(Model(weights, phrases)), "total double, words long, toxic int"), "toxicity-sums")
+    frequent = _count(toxic_rows).where(F.col("n") >= LEAST_VOTES)  # no more votes than texts
+    candidates = [r.term for r in frequent.orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES).collect()]
+    votes = {True: {}, False: {}}
+    for r in _votes(rows, candidates).collect():  # at most two rows for each candidate
+        votes[r.toxic][candidates[r.term]] = r.n
+    weights = choose_entries(votes[True], votes[False], n_toxic, n_other, most_entries)
+    phrases = _phrases(_neighbours(rows, weights))
+    schema = "total double, words long, toxic int, sketch long"
+    sums = rows.mapInArrow(_sums(Model(weights, phrases)), schema).groupBy("sketch", "toxic")
+    sums = written(sums.agg(F.max(F.struct("total", "words")).alias("sum")).select("sum.*", "toxic"), "toxicity-sums")
     sample = sums.groupBy("total", "words", "toxic").agg(F.count("*").alias("n")).limit(4 * sample_labels).toArrow()
     many = np.repeat(np.arange(len(sample)), sample.column("n").to_numpy())
     pairs = list(zip(sample.column("total").to_pylist(), sample.column("words").to_pylist(), strict=True))
@@ -283,29 +378,27 @@ def learn(
 
 
 def _neighbours(rows: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """``term, side, other, toxic``: how many texts of either kind hold an entry beside a word."""
+    """``term, side, other, toxic``: in how many pairs of words around an entry a word is, in texts of either kind."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(weights, {})
         for batch in batches:
-            found: Counter = Counter()
+            found: set[tuple] = set()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not matcher.may_match(text.split()):
                     continue
                 folded = fold(text)
-                found.update(
-                    {(e, side, int(toxic > 0)) for e, start, _ in matcher.matches(folded) for side in matcher.beside(folded, start)}
-                )
-            terms, sides, toxics = zip(*found, strict=True) if found else ((), (), ())
+                found.update((e, *matcher.beside(folded, start), int(toxic > 0)) for e, start, _ in matcher.matches(folded))
+            terms, before, after, toxics = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), pa.array(sides, pa.string()), pa.array(toxics, pa.int32()), pa.array(found.values(), pa.int64())],
-                names=["term", "side", "toxic", "n"],
+                [pa.array(terms, pa.string()), pa.array(before, pa.string()), pa.array(after, pa.string()), pa.array(toxics, pa.int32())],
+                names=["term", "before", "after", "toxic"],
             )
 
-    counted = rows.select("text", "toxic").mapInArrow(gather, "term string, side string, toxic int, n long")
-    both = counted.groupBy("term", "side").agg(
-        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("other"),
-        F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("toxic"),
+    around = rows.select("text", "toxic").mapInArrow(gather, "term string, before string, after string, toxic int").distinct()
+    both = around.select("term", F.explode(F.array("before", "after")).alias("side"), "toxic").groupBy("term", "side").agg(
+        F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("other"),
+        F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"),
     )
     return written(both, "toxicity-neighbours")
 
@@ -330,8 +423,9 @@ def _sums(model: Model):
                     pa.array([round(t, 3) for t, _ in found], pa.float64()),
                     pa.array([w for _, w in found], pa.int64()),
                     batch.column("toxic"),
+                    batch.column("sketch"),
                 ],
-                names=["total", "words", "toxic"],
+                names=["total", "words", "toxic", "sketch"],
             )
 
     return sums

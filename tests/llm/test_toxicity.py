@@ -88,6 +88,25 @@ def test_learns_entries_and_exceptions(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if not r.predicted}
 
 
+def test_near_copies_take_no_entry_away(spark):
+    docs, labels = labelled(spark, 400)
+    held = [i for i in range(5000, 20_000) if fold_of(i, 3) != 1][:1500]
+    copies = [(i, f"stinkerly and bozomane in {n} of the same lines again and again") for n, i in enumerate(held)]
+    docs = docs.union(spark.createDataFrame(copies, docs.schema))
+    labels = labels.union(spark.createDataFrame([(i, 1, 1) for i in held], labels.schema))
+    model = t.learn(docs, labels)
+    assert any("stinker".startswith(e) for e in model.weights)
+    toxic = {r.doc_id: r.toxic for r in labels.where("doc_id < 5000").collect()}
+    rows = [r for r in t.score_documents(docs, model).collect() if r.doc_id in toxic and fold_of(r.doc_id, 3) == 1]
+    assert np.mean([r.predicted == toxic[r.doc_id] for r in rows]) > 0.97
+
+
+def test_near_copies_have_one_vote(spark):
+    rows = [(f"line {n} of near copies: what a stinker he is", 1) for n in range(50)] + [("a stinker", 1), ("my stinker", 0)]
+    votes = t._votes(spark.createDataFrame(rows, "text string, toxic int"), ["stin", "none"]).collect()
+    assert sorted((r.term, r.toxic, r.n) for r in votes) == [(0, False, 1), (0, True, 2)]
+
+
 def test_held_out_accuracy(spark, table):
     docs, labels = table("documents", "/root/testdata/sf0.1"), table("labels", "/root/testdata/sf0.1")
     toxic = {r.doc_id: r.toxic for r in labels.collect()}
