@@ -14,7 +14,48 @@ _ENTRIES = _values(
     + [(*entry.partition("/")[::2], "listed") for entry in BLOCK_LIST]
 )
 
+
+
+def _clusters(k: int, rounds: int) -> str:
+    """Every vector against every centroid, round by round."""
+    parts = [
+        """kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vector FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        "v AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS i, unnest(vector) AS x FROM kept)",
+        f"""c0 AS MATERIALIZED (
+    SELECT f.k, v.i, v.x FROM v JOIN (
+        SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k FROM kept ORDER BY k LIMIT {k}
+    ) f USING (vec_id)
+)""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+    SELECT vec_id, k, d FROM (
+        SELECT v.vec_id, c.k, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d
+        FROM v JOIN c{r} c USING (i) GROUP BY v.vec_id, c.k
+    ) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1
+)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+    SELECT c.k, c.i, CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n) + n) % n) // n END AS x
+    FROM c{r} c LEFT JOIN (
+        SELECT a.k, v.i, sum(v.x)::BIGINT AS s, count(*) AS n FROM v JOIN a{r} a USING (vec_id) GROUP BY a.k, v.i
+    ) m ON m.k = c.k AND m.i = c.i
+)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT a.vec_id, a.k::INT AS cluster, a.d AS distance,
+       (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, s.centroid_sha256
+FROM a{rounds} a JOIN (
+    SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k
+) s USING (k)
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_centroids": _clusters(40, 5),
     "op1_ngram_jaccard": r"""
 WITH RECURSIVE texts AS (
     SELECT doc_id, list_filter(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailtriage.llm import (
+    centroids,
     class_lm,
     decontaminate,
     exact_dedup,
@@ -16,6 +17,7 @@ from mailtriage.llm import (
     pii,
     secrets,
     sharding,
+    token_counts,
     toxicity,
     url_filter,
 )
@@ -101,6 +103,14 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf, "embeddings"))[0]
+
+
+def op13_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontaminate": op2_decontaminate,
@@ -112,4 +122,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
+    "op12_centroids": op12_centroids,
+    "op13_token_counts": op13_token_counts,
 }
