@@ -55,6 +55,42 @@ FROM a{rounds} a JOIN (
 
 
 ORACLE: dict[str, str] = {
+    "op11_prefix_trie": r"""
+WITH own AS MATERIALIZED (
+    SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''),
+                                                                           lambda x: ascii(x)::BIGINT)),
+                           lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)),
+                                                    lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 9 AS h
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+rebuilt AS MATERIALIZED (
+    SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+    FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+),
+prefixes AS (
+    SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns, len(turns) AS n FROM rebuilt
+),
+nodes AS MATERIALIZED (
+    SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+    FROM prefixes GROUP BY ALL
+),
+children AS MATERIALIZED (
+    SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+),
+joined AS MATERIALIZED (
+    SELECT n.*, coalesce(c.n_children, 0) AS n_children,
+           CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[depth].text) END AS saved
+    FROM nodes n LEFT JOIN children c USING (path)
+),
+sums AS (
+    SELECT path[1:up] AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+    FROM (SELECT path, n_children, saved, unnest(range(depth + 1)) AS up FROM joined) GROUP BY ALL
+)
+SELECT j.conv_id, j.depth, p.conv_id AS parent_conv_id, j.n_convs, j.n_children, s.n_leaves, s.saved_tokens, j.ends_sha256
+FROM joined j JOIN sums s USING (path) LEFT JOIN nodes p ON j.depth > 0 AND p.path = j.path[1:j.depth - 1]
+""",
     "op12_centroids": _clusters(40, 5),
     "op1_ngram_jaccard": r"""
 WITH RECURSIVE texts AS (

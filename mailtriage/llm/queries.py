@@ -15,6 +15,7 @@ from mailtriage.llm import (
     ngram_join,
     packing,
     pii,
+    prefix_trie,
     secrets,
     sharding,
     token_counts,
@@ -103,6 +104,10 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf, "conversations"))
+
+
 def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return centroids.cluster_vectors(_table(spark, sf, "embeddings"))[0]
 
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_centroids": op12_centroids,
     "op13_token_counts": op13_token_counts,
 }
