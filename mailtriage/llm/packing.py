@@ -11,8 +11,8 @@ batch, batches have running totals for each length, and the rank so made is look
 broadcast (its size is bounded by the sequence length).
 
 A null text is empty and gives the end id alone. Repeated rows are packed each for itself. An empty table gives an
-empty result. Extra columns are not read. Texts of any length are encoded whole. Strings of special tokens in a
-text are ordinary text.
+empty result. Extra columns are not read. Texts of any length are encoded whole. The file's added tokens are found in texts
+as the tokenizer finds them: their strings become their ids.
 """
 
 from __future__ import annotations
@@ -54,11 +54,16 @@ def load_encoding(path: str) -> tiktoken.Encoding:
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a byte-level vocabulary shows as they are
     hidden = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    special = {t["content"] for t in model.get("added_tokens", ())}
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", ())}
     ranks = {
         bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special
     }
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def encoded(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text, those of added tokens where their strings stand."""
+    return encoding.encode(text, allowed_special="all")
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
@@ -88,7 +93,7 @@ def tokenize(
             rows: list[tuple] = []
             seen = [0] * (most + 1)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encoding.encode_ordinary(text), end_id], "<u4")
+                ids = np.array([*encoded(encoding, text), end_id], "<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), most)):
                     own = ids[start : start + length].tobytes()
                     row = (doc_id, piece, start, length, zlib.crc32(own), first_chunk + number, seen[length])

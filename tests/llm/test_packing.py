@@ -15,9 +15,7 @@ from mailtriage.llm.queries import op4_best_two_fit
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(p.TOKENIZER))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path(p.TOKENIZER))
 
 
 def ids_of(tokenizer, text):
@@ -42,9 +40,9 @@ def test_same_ids_as_the_tokenizer(tokenizer):
     random.seed(6)
     encoding = p.load_encoding(p.tokenizer_path())
     alphabet = ["a", "the", " ", "  ", "\n", "\t", "'s", "é", "ß", "你", "😀", "́", "12", ".", "!?", "<|endoftext|>", "\xa0", " ", "\x00", "\x1c", "ﬁ", "Ⅷ", "A"]
-    texts = ["", "x" * 20_000, " " * 5000, "<|endoftext|>", *("".join(random.choices(alphabet, k=random.randint(1, 30))) for _ in range(4000))]
+    texts = ["", "x" * 20_000, " " * 5000, "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n <|endoftext|", *("".join(random.choices(alphabet, k=random.randint(1, 30))) for _ in range(4000))]
     for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert encoding.encode_ordinary(text) == want.ids, text
+        assert p.encoded(encoding, text) == want.ids, text
 
 
 def sequential(counts, capacity):
