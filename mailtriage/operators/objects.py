@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailtriage.functions.text import size_label
+from mailtriage.sources.workspace import workspace
 
 
 def _matching(objects: DataFrame, prefix: str) -> DataFrame:
@@ -71,6 +72,35 @@ def requested_objects(objects: DataFrame, requested: DataFrame, on: str = "key")
     return objects.join(asked, on, "left_semi")
 
 
+def store_listing(listing: DataFrame, table: str, buckets: int = 200, on: str = "key") -> DataFrame:
+    """Keep a listing as a table in buckets of its key, in the session's warehouse, and return it: checks and replays that
+    join on the key read it where it lies and shuffle the requests alone. ``buckets`` is for the size of the listing; a
+    session joins without a shuffle if its ``spark.sql.shuffle.partitions`` is not larger. An older table of that name is
+    replaced."""
+    listing.write.bucketBy(buckets, on).sortBy(on).mode("overwrite").saveAsTable(table)
+    return listing.sparkSession.table(table)
+
+
+def work_units(listing: DataFrame, unit_bytes: int, key: str = "key", size: str = "size") -> DataFrame:
+    """Adds ``unit``: objects in key order, numbered by how many times ``unit_bytes`` their forerunners hold. So a unit
+    holds less than ``unit_bytes`` before its last object, and an object that is larger ends one: what comes next goes to
+    a later unit. The running sum has two levels, within ranges of keys and over the ranges; no task sees all objects.
+    The listing is written once to the shared folder, so that its ranges stay what they are."""
+    order, spark = [key, size], listing.sparkSession
+    ranged = listing.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
+    ranged = ranged.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    path = workspace(spark, "listing-ranges")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    in_range = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(F.sum("_size").alias("_sum"))  # one row for each range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = ranged.withColumn("_own", F.coalesce(F.sum("_size").over(in_range), F.lit(0)))
+    unit = F.floor((F.col("_own") + F.col("_before")) / F.lit(unit_bytes)).cast("long")
+    return own.join(sums, "_range").withColumn("unit", unit).drop("_size", "_range", "_own", "_before")
+
+
 def addressed_to(to_addresses: Column, recipients: Sequence[str]) -> Column:
     """True when one of the recipients is among the addresses (an array of lower-case strings)."""
     return F.arrays_overlap(to_addresses, F.array(*(F.lit(r.lower()) for r in recipients)))

@@ -154,9 +154,22 @@ def triage_notifications(
     event_col: str = "event",
     tasks: int | None = None,
 ) -> DataFrame:
-    """One decided row for each notification. ``locate`` makes the path of an object from its bucket and key. An
-    event that cannot be read, or whose object cannot, has the reason as its ``error``, which ``build_status`` turns
-    into a 500. Objects are opened by path, in tasks; nothing is listed."""
+    """One decided row for each notification: see :func:`read_notified`."""
+    assembled = read_notified(events, cfg, locate, id_col, event_col, tasks)
+    return decide(assembled, cfg, responses, make_scorer, run_date, id_col)
+
+
+def read_notified(
+    events: DataFrame,
+    cfg: TriageConfig,
+    locate: Callable[[Column, Column], Column],
+    id_col: str = "msg_id",
+    event_col: str = "event",
+    tasks: int | None = None,
+) -> DataFrame:
+    """The mail that notifications tell of, assembled, a row for each. ``locate`` makes the path of an object from its
+    bucket and key. An event that cannot be read, or whose object cannot, has the reason as its ``error``, which
+    ``build_status`` turns into a 500. Objects are opened by path, in tasks; nothing is listed."""
     located = parse_notifications(events.select(id_col, event_col), event_col)
     readable = F.col("error").isNull()
     asked = located.select(
@@ -165,11 +178,33 @@ def triage_notifications(
         F.col("error").alias("event_error"),
     )
     found = read_objects(asked, keep=(id_col, "event_error"), tasks=tasks)
-    problem = F.coalesce("event_error", "read_error")
-    parsed = parse_mail(
-        found.withColumn("problem", problem),
-        keep=(id_col, "problem"),
-        recipients=cfg.recipients,
-    ).withColumn("error", F.coalesce("problem", "error"))
-    assembled = assemble_mail(parsed, cfg.catch_all, keep=(id_col,))
+    return _read_found(found.withColumn("problem", F.coalesce("event_error", "read_error")), cfg, id_col)
+
+
+def _read_found(found: DataFrame, cfg: TriageConfig, id_col: str) -> DataFrame:
+    """Opened objects (``content``), assembled; a ``problem`` with opening one is its error."""
+    parsed = parse_mail(found, keep=(id_col, "problem"), recipients=cfg.recipients)
+    parsed = parsed.withColumn("error", F.coalesce("problem", "error"))
+    return assemble_mail(parsed, cfg.catch_all, keep=(id_col,))
+
+
+def replay_outcomes(
+    listing: DataFrame,
+    requested: DataFrame,
+    cfg: TriageConfig,
+    responses: DataFrame | None = None,
+    make_scorer: ScorerFactory | None = None,
+    run_date: Column | None = None,
+    id_col: str = "msg_id",
+    tasks: int | None = None,
+) -> DataFrame:
+    """As :func:`replay`, with a row for each object that is asked for, stored or not: one that the ``listing`` (``id_col,
+    path``) does not hold is never opened and has that as its error. Repeated requests are one."""
+    if "content" in listing.columns:
+        raise ValueError("replay needs a listing without contents")
+    asked = requested.select(id_col, F.xxhash64(id_col).alias("_hash")).distinct().select(id_col)
+    located = asked.join(listing.select(id_col, "path"), id_col, "left")
+    missing = F.when(F.col("path").isNull(), F.concat(F.lit("no such object: "), F.col(id_col).cast("string")))
+    found = read_objects(located.withColumn("absent", missing), keep=(id_col, "absent"), tasks=tasks)
+    assembled = _read_found(found.withColumn("problem", F.coalesce("absent", "read_error")), cfg, id_col)
     return decide(assembled, cfg, responses, make_scorer, run_date, id_col)

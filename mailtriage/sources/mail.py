@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import deque
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyarrow import fs
@@ -15,7 +17,8 @@ from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_OPENED_TOGETHER = 64  # objects in one output batch
+BATCH_BYTES = 8 << 20  # of contents in one output batch, or one object that is larger
+IN_FLIGHT = 8  # objects of a task that are opened at a time
 
 BINARY_FILE = T.StructType(
     [
@@ -104,11 +107,16 @@ def listing(mail: DataFrame) -> DataFrame:
 
 
 def read_objects(
-    wanted: DataFrame, path_col: str = "path", keep: Sequence[str] = ("msg_id",), tasks: int | None = None
+    wanted: DataFrame,
+    path_col: str = "path",
+    keep: Sequence[str] = ("msg_id",),
+    tasks: int | None = None,
+    in_flight: int = IN_FLIGHT,
 ) -> DataFrame:
     """The ``keep`` columns with ``content`` and ``read_error`` of the objects at ``path_col``, opened one by one in
     tasks through Arrow's file systems: nothing is listed, and no other object is touched. An object that cannot be
-    read, or a null path, gives a null content and says why. ``tasks`` spreads the paths, never the contents."""
+    read, or a null path, gives a null content and says why. ``tasks`` spreads the paths, never the contents. A task has
+    up to ``in_flight`` objects on their way and sends on what it has as soon as that reaches ``BATCH_BYTES``."""
     keep = list(keep)
     picked = wanted.select(*keep, F.col(path_col).cast("string").alias("_path"))
     if tasks:
@@ -117,32 +125,55 @@ def read_objects(
     schema = T.StructType([*(picked.schema[name] for name in keep), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, _OPENED_TOGETHER):
-                part = batch.slice(start, _OPENED_TOGETHER)
-                found = [_read_object(path) for path in part.column(len(keep)).to_pylist()]
-                contents, errors = zip(*found, strict=True)
-                arrays = [pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(keep))), *arrays], [*keep, "content", "read_error"]
-                )
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                start, size, found = 0, 0, []
+                for content, error in _in_order(pool, batch.column(len(keep)).to_pylist(), in_flight):
+                    found.append((content, error))
+                    size += len(content or b"")
+                    if size >= BATCH_BYTES:
+                        yield _with_contents(batch.slice(start, len(found)), keep, found)
+                        start, size, found = start + len(found), 0, []
+                if found:
+                    yield _with_contents(batch.slice(start, len(found)), keep, found)
 
     return picked.mapInArrow(run, schema)
 
 
+def _in_order(pool: ThreadPoolExecutor, paths: list, in_flight: int) -> Iterator[tuple[bytes | None, str | None]]:
+    """Objects in the order of their paths, no more than ``in_flight`` of them ahead of what is taken."""
+    waiting: deque = deque()
+    for path in paths:
+        waiting.append(pool.submit(_read_object, path))
+        if len(waiting) >= in_flight:
+            yield waiting.popleft().result()
+    while waiting:
+        yield waiting.popleft().result()
+
+
+def _with_contents(part: pa.RecordBatch, keep: list[str], found: list[tuple]) -> pa.RecordBatch:
+    contents, errors = zip(*found, strict=True)
+    arrays = [pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
+    return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *arrays], [*keep, "content", "read_error"])
+
+
 def _read_object(path: str | None) -> tuple[bytes | None, str | None]:
     if path is None:
         return None, "no path"
     try:
-        name = re.sub(r"^s3[an]:", "s3:", path)
-        scheme = re.match(r"([a-z][a-z0-9+.-]*):", name)
-        if scheme is None or scheme[1] == "file":  # a local path is taken as it is, without URL decoding
-            files, name = fs.LocalFileSystem(), re.sub(r"^file:(//)?", "", name)
-        else:
-            files, name = fs.FileSystem.from_uri(name)
+        files, name = file_system(path)
         with files.open_input_stream(name) as stream:
             return stream.read(), None
     except FileNotFoundError:
         return None, f"no such object: {path}"
     except Exception as problem:
         return None, f"{type(problem).__name__}: {problem}"
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path, and the path in it. A local path is taken as it is, without URL decoding."""
+    name = re.sub(r"^s3[an]:", "s3:", path)
+    scheme = re.match(r"([a-z][a-z0-9+.-]*):", name)
+    if scheme is None or scheme[1] == "file":
+        return fs.LocalFileSystem(), re.sub(r"^file:(//)?", "", name)
+    return fs.FileSystem.from_uri(name)

@@ -1,4 +1,4 @@
-"""Triage of every mail that arrives, batch by batch, into tables."""
+"""Triage of every mail that arrives, or that an event tells of, batch by batch, into tables."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from mailtriage.config import TriageConfig
 from mailtriage.operators.scoring import ScorerFactory
 from mailtriage.plans.outputs import batch_folder, write_outputs
-from mailtriage.plans.triage import decide_light, light_mail, read_mail, triage
+from mailtriage.plans.triage import decide, decide_light, light_mail, read_mail, read_notified
 
 
 def run_of(spark: SparkSession, checkpoint: str) -> str:
@@ -43,8 +43,55 @@ def triage_stream(
 
     Each batch runs the batch job on its own rows. Its folders are named by the query's id, which the
     checkpoint keeps, and by its number: a repeated batch replaces its output instead of adding to it, and
-    another query, or this one with a new checkpoint, never touches it. ``run_ts`` dates prompts and
-    tickets; without it a repeated batch is dated anew."""
+    another query, or this one with a new checkpoint, never touches it. Readers see a batch once all its tables are
+    written. ``run_ts`` dates prompts and tickets; without it a repeated batch is dated anew."""
+
+    def assemble(batch: DataFrame) -> DataFrame:
+        return read_mail(batch if tasks is None else batch.repartition(tasks), cfg, id_col)
+
+    return _start(arrivals, assemble, cfg, out, checkpoint, responses, make_scorer, run_ts, interval, id_col, wait)
+
+
+def event_stream(
+    events: DataFrame,
+    cfg: TriageConfig,
+    locate: Callable[[Column, Column], Column],
+    out: str,
+    checkpoint: str,
+    responses: Callable[[SparkSession], DataFrame] | None = None,
+    make_scorer: ScorerFactory | None = None,
+    run_ts: Column | None = None,
+    interval: str | None = None,
+    tasks: int | None = None,
+    id_col: str = "msg_id",
+    event_col: str = "event",
+    wait: int = 0,
+) -> StreamingQuery:
+    """As :func:`triage_stream`, but ``events`` is a stream of object-created notifications, from any source: each is an
+    id and the JSON text. The objects of a batch are opened by the paths that ``locate`` makes of bucket and key, in
+    tasks; no store is listed, and what was there before the events is not touched. Every event has a row, as every
+    notification is acted on: an object told of twice is triaged twice, an event that cannot be read or whose object
+    cannot is an error with its reason. A batch that is repeated replaces its rows."""
+
+    def assemble(batch: DataFrame) -> DataFrame:
+        return read_notified(batch, cfg, locate, id_col, event_col, tasks)
+
+    return _start(events, assemble, cfg, out, checkpoint, responses, make_scorer, run_ts, interval, id_col, wait)
+
+
+def _start(
+    arrivals: DataFrame,
+    assemble: Callable[[DataFrame], DataFrame],
+    cfg: TriageConfig,
+    out: str,
+    checkpoint: str,
+    responses: Callable[[SparkSession], DataFrame] | None,
+    make_scorer: ScorerFactory | None,
+    run_ts: Column | None,
+    interval: str | None,
+    id_col: str,
+    wait: int,
+) -> StreamingQuery:
     if (responses is None) == (make_scorer is None):
         raise ValueError("give either a responses table or a scorer")
     if wait and responses is None:
@@ -54,13 +101,12 @@ def triage_stream(
         spark = batch.sparkSession
         now = F.current_timestamp() if run_ts is None else run_ts
         name = run_of(spark, checkpoint)
-        mail = batch if tasks is None else batch.repartition(tasks)
         if not wait:
             table = None if responses is None else responses(spark)
-            decided = triage(mail, cfg, table, make_scorer, F.to_date(now), id_col)
+            decided = decide(assemble(batch), cfg, table, make_scorer, F.to_date(now), id_col)
             write_outputs(decided, cfg, out, now, name, batch_id, id_col=id_col)
             return
-        light = light_mail(read_mail(mail, cfg, id_col), cfg, id_col).withColumn("waited", F.lit(0))
+        light = light_mail(assemble(batch), cfg, id_col).withColumn("waited", F.lit(0))
         if batch_id:
             earlier = spark.read.schema(light.schema).parquet(batch_folder(out, "pending", name, batch_id - 1))
             light = light.unionByName(earlier.withColumn("waited", F.col("waited") + 1))
@@ -71,9 +117,10 @@ def triage_stream(
         due = F.col("error").isNotNull() | (F.col("waited") >= wait)
         known = table.select(id_col).distinct()
         ready = light.where(due).unionByName(light.where(~due).join(known, id_col, "left_semi"))
-        write_outputs(decide_light(ready, cfg, table, id_col), cfg, out, now, name, batch_id, id_col=id_col)
+        decided = decide_light(ready, cfg, table, id_col)
+        folders = write_outputs(decided, cfg, out, now, name, batch_id, id_col=id_col)
         # What is still open goes by what was written: a response that came meanwhile loses no mail.
-        done = spark.read.parquet(batch_folder(out, "triage", name, batch_id)).select(id_col)
+        done = spark.read.parquet(folders["triage"]).select(id_col)
         still = light.join(done, id_col, "left_anti")
         still.write.mode("overwrite").parquet(batch_folder(out, "pending", name, batch_id))
 

@@ -463,4 +463,49 @@ ORACLE: dict[str, str] = {
                             ELSE 'noreply@example.com' END AS sender
         FROM documents""",
     "triage_batch": f"WITH {TRIAGE} SELECT {_DECISION} FROM triaged",
+    "event_stream": f"""
+        WITH {TRIAGE},
+        events AS (
+            SELECT doc_id, doc_id * 2 AS event_id FROM documents
+            UNION ALL SELECT doc_id, doc_id * 2 + 1 FROM documents WHERE doc_id % 8 = 0
+        )
+        SELECT event_id, doc_id % 4 IN (0, 3) AS processed,
+               CASE WHEN doc_id % 4 IN (0, 3) THEN reply_to END AS reply_to,
+               CASE WHEN doc_id % 4 IN (0, 3) THEN reply_subject END AS reply_subject,
+               CASE WHEN doc_id % 4 IN (0, 3) THEN is_phishing END AS is_phishing
+        FROM events JOIN triaged ON msg_id = doc_id""",
+    "object_listing_source": f"""
+        WITH {OBJECTS}, sized AS (SELECT key, strlen(text)::BIGINT AS size FROM objects JOIN documents USING (doc_id))
+        SELECT key, size, CASE WHEN size < 1024 THEN printf('%.2f B', size::DOUBLE)
+                               WHEN size < 1048576 THEN printf('%.2f KB', size / 1024::DOUBLE)
+                               ELSE printf('%.2f MB', size / 1048576::DOUBLE) END AS label
+        FROM sized""",
+    "replay_outcomes": """
+        SELECT doc_id || CASE WHEN toxic = 1 THEN '.gone' ELSE '.eml' END AS msg_id,
+               CASE WHEN toxic = 1 THEN 500 ELSE 200 END AS status,
+               CASE WHEN toxic = 1 THEN '"Error processing email: no such object: ' || doc_id || '.gone"'
+                    ELSE '"Email processed successfully"' END AS status_body
+        FROM labels""",
+    "work_units": f"""
+        WITH {OBJECTS}
+        SELECT key, size,
+               floor(coalesce(sum(size) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                     / {q.UNIT_BYTES})::BIGINT AS unit
+        FROM objects""",
+    "stored_listing": f"""
+        WITH {OBJECTS}
+        SELECT r.key, r.doc_id, EXISTS (SELECT 1 FROM objects o WHERE o.key = r.key) AS stored FROM requested r""",
+    "score_resumed": """
+        SELECT doc_id AS msg_id, CASE WHEN doc_id % 2 = 1 THEN 'PHISHING' ELSE 'CLEAN' END AS label,
+               CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS run
+        FROM documents""",
+    "compacted_outbox": f"""
+        WITH {TRIAGE}
+        SELECT msg_id, (msg_id % 4)::BIGINT AS batch_id, reply_to AS recipient, reply_subject AS subject,
+               {plain_text(report('is_phishing', 'analysis'))} AS body_text
+        FROM triaged""",
+    "outcome_counts": """
+        SELECT (doc_id % 2)::BIGINT AS batch_id, count(*) FILTER (doc_id % 5 <> 0) AS succeeded,
+               count(*) FILTER (doc_id % 5 = 0) AS failed
+        FROM documents GROUP BY 1""",
 }

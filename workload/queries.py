@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,18 +13,29 @@ from pyspark.sql import functions as F
 from mailtriage import constants as k
 from mailtriage.functions import text as t
 from mailtriage.functions import verdict as v
-from mailtriage.operators import mime, objects, report, scoring, selection, verdicts
-from mailtriage.plans.outputs import read_output
-from mailtriage.plans.triage import read_mail, replay, triage, triage_notifications
+from mailtriage.operators import ledger, mime, objects, report, scoring, selection, verdicts
+from mailtriage.plans.outputs import compact, read_counts, read_output, write_outputs
+from mailtriage.plans.triage import (
+    read_mail,
+    replay,
+    replay_outcomes,
+    requests_for,
+    triage,
+    triage_notifications,
+)
 from mailtriage.sources import notifications
+from mailtriage.sources.listing import list_store
 from mailtriage.sources.mail import scan_listing, scan_mail, stream_mail
 from mailtriage.sources.workspace import workspace
-from mailtriage.streaming.triage_stream import triage_stream
+from mailtriage.streaming.triage_stream import event_stream, triage_stream
 from workload import samples as s
 
 PREFIX = "inbox/"
 MAX_ITEMS = 100
 PREVIEW = 200
+UNIT_BYTES = 50_000
+LEDGER_BUCKETS = 16
+LISTING_BUCKETS = 16
 
 
 def _stored_id() -> Column:
@@ -403,6 +415,117 @@ def sender_default(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def event_stream_query(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of notifications in two batches: of stored mail, of mail that is not there, without a record, and repeats
+    of every eighth one; the written decisions. Events are numbered by twice the document, and one more for a repeat."""
+    folder, doc_id = s.store(spark, sf), F.col("doc_id")
+    shape, name = F.pmod(doc_id, F.lit(4)), F.concat(doc_id.cast("string"), F.lit(".eml"))
+    event = (
+        F.when(shape == 1, F.lit('{"Records": []}'))
+        .when(shape == 2, notifications.notification(F.lit(s.BUCKET), F.concat(name, F.lit(".gone"))))
+        .otherwise(notifications.notification(F.lit(s.BUCKET), name))
+    )
+    times = F.explode(F.when(F.pmod(doc_id, F.lit(8)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    told = s.table(spark, sf, "documents").select("doc_id", event.alias("event"), times.alias("again"))
+    out = workspace(spark, "event-stream")
+    told.select((doc_id * 2 + F.col("again")).alias("msg_id"), "event").repartition(4).write.json(f"{out}/events")
+    events = spark.readStream.schema("msg_id long, event string").option("maxFilesPerTrigger", 2).json(f"{out}/events")
+    answers = s.responses(spark, sf).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
+    event_stream(
+        events,
+        s.CONFIG,
+        lambda bucket, key: F.concat(F.lit(f"{folder}/"), key),
+        out,
+        f"{out}/checkpoint",
+        responses=lambda session: answers.withColumn("msg_id", F.col("msg_id") * 2 + F.col("again")).drop("again"),
+        run_ts=s.run_ts(),
+        tasks=s.tasks(spark),
+    ).awaitTermination()
+    decided = read_output(spark, out, "triage").withColumnRenamed("msg_id", "event_id")
+    return decided.select("event_id", F.col("error").isNull().alias("processed"), "reply_to", "reply_subject", "is_phishing")
+
+
+def object_listing_source(spark: SparkSession, sf: str) -> DataFrame:
+    """A store's objects, listed by tasks; the prefix is pushed into the listing."""
+    listed = list_store(spark, s.keyed_store(spark, sf)).where(F.startswith("key", F.lit(PREFIX)))
+    return listed.select("key", "size", t.size_label(F.col("size")).alias("label"))
+
+
+def replay_outcomes_query(spark: SparkSession, sf: str) -> DataFrame:
+    """An outcome for every object that is asked for; every second label asks for one that is not stored."""
+    listing = list_store(spark, s.store(spark, sf)).select(F.col("key").alias("msg_id"), "path")
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("toxic") == 1, ".gone").otherwise(".eml"))
+    asked = s.table(spark, sf, "labels").select(name.alias("msg_id"))
+    answers = s.responses(spark, sf).withColumn("msg_id", F.concat(F.col("msg_id").cast("string"), F.lit(".eml")))
+    decided = replay_outcomes(listing, asked, s.CONFIG, answers, tasks=s.tasks(spark))
+    return report.build_status(decided).select("msg_id", "status", "status_body")
+
+
+def work_units_query(spark: SparkSession, sf: str) -> DataFrame:
+    return objects.work_units(s.objects(spark, sf), UNIT_BYTES).select("key", "size", "unit")
+
+
+def stored_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Which requests are stored and which are not, asked of a listing that is kept in buckets."""
+    listing = objects.store_listing(s.objects(spark, sf), f"listing_{uuid.uuid4().hex}", LISTING_BUCKETS)
+    asked = s.requested(spark, sf)
+    found = objects.present_objects(asked, listing).withColumn("stored", F.lit(True))
+    return found.unionByName(objects.missing_objects(asked, listing).withColumn("stored", F.lit(False)))
+
+
+def score_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A scorer that fails for every third document, run twice on one ledger; which run has the answer."""
+    path = f"{workspace(spark, 'scoring')}/ledger"
+    requests = requests_for(_mail(spark, sf), s.CONFIG, s.run_date())
+
+    def maker(run: int, fails: bool) -> Callable[[str | None], Callable[[str], str]]:
+        def make_scorer(model_id: str | None) -> Callable[[str], str]:
+            def score(request: str) -> str:
+                subject = json.loads(request)["messages"][0]["content"].split("Subject: doc ")[1]
+                number = int(subject.split(" ")[0])
+                if fails and number % 3 == 0:
+                    raise RuntimeError("no answer")
+                return json.dumps({"content": [{"text": f"{'PHISHING' if number % 2 else 'CLEAN'} run {run}"}]})
+
+            return score
+
+        return make_scorer
+
+    ledger.score_once(requests, maker(1, True), path, in_flight=4, buckets=LEDGER_BUCKETS)
+    answers = ledger.score_once(requests, maker(2, False), path, in_flight=4, buckets=LEDGER_BUCKETS)
+    text = scoring.response_texts(answers)
+    run = F.regexp_extract("text", r"run (\d)", 1).cast("int")
+    return text.select("msg_id", v.verdict_label(F.col("text")).alias("label"), run.alias("run"))
+
+
+def _batches(spark: SparkSession, sf: str) -> str:
+    """Decided mail written as four batches."""
+    out = workspace(spark, "batches")
+    decided = _triage(spark, sf)
+    for batch in range(4):
+        own = decided.where(F.pmod("msg_id", F.lit(4)) == batch)
+        write_outputs(own, s.CONFIG, out, s.run_ts(), "run", batch)
+    return out
+
+
+def compacted_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies of four batches, of which three are then rewritten into one."""
+    out = _batches(spark, sf)
+    compact(spark, out, "run")
+    return read_output(spark, out, "outbox").drop("run", "config_set", "sender", "body_html")
+
+
+def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many mails of each batch succeeded and failed, as counted by the jobs that wrote them. Every fifth mail is lost."""
+    out = workspace(spark, "counted")
+    content = F.when(F.pmod("msg_id", F.lit(5)) != 0, F.col("content"))
+    decided = triage(s.mail(spark, sf).withColumn("content", content), s.CONFIG, s.responses(spark, sf), unique=True)
+    for batch in range(2):
+        write_outputs(decided.where(F.pmod("msg_id", F.lit(2)) == batch), s.CONFIG, out, s.run_ts(), "run", batch)
+    rows = [(batch, counts["succeeded"], counts["failed"]) for ((_, batch),), counts in read_counts(spark, out)]
+    return spark.createDataFrame(rows, "batch_id long, succeeded long, failed long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "email_scan": email_scan,
     "triage_stream": triage_stream_query,
@@ -450,4 +573,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raw_dump": raw_dump,
     "sender_default": sender_default,
     "triage_batch": triage_batch,
+    "event_stream": event_stream_query,
+    "object_listing_source": object_listing_source,
+    "replay_outcomes": replay_outcomes_query,
+    "work_units": work_units_query,
+    "stored_listing": stored_listing,
+    "score_resumed": score_resumed,
+    "compacted_outbox": compacted_outbox,
+    "outcome_counts": outcome_counts,
 }

@@ -6,7 +6,7 @@ shape of the mail goes by ``doc_id``. All rows and whole texts are used.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -175,31 +175,46 @@ def edge_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(F.col("doc_id").alias("msg_id"), content.alias("content"))
 
 
-_STORES: dict[tuple[str, str], str] = {}
+_STORES: dict[tuple[str, str, str], str] = {}
 
 
 def store(spark: SparkSession, sf_dir: str) -> str:
     """A folder that holds the documents' mail as objects ``<doc_id>.eml``, written by the tasks once in an application:
     the store is there before the jobs that read it."""
-    application = (spark.sparkContext.applicationId, sf_dir)
+    name = F.concat(F.col("msg_id").cast("string"), F.lit(".eml"))
+    return _store("mail-store", lambda: mail(spark, sf_dir).select(name.alias("key"), "content"), spark, sf_dir)
+
+
+def keyed_store(spark: SparkSession, sf_dir: str) -> str:
+    """A folder that holds the documents' texts as objects under the keys of :func:`objects`, in folders by source."""
+    key = object_key(F.col("doc_id"), F.col("source"))
+    content = F.encode("text", "UTF-8").alias("content")
+    return _store("keyed-store", lambda: documents(spark, sf_dir).select(key.alias("key"), content), spark, sf_dir)
+
+
+def _store(name: str, make: Callable[[], DataFrame], spark: SparkSession, sf_dir: str) -> str:
+    application = (name, spark.sparkContext.applicationId, sf_dir)
     if application not in _STORES:
-        _STORES[application] = _write_store(spark, sf_dir)
+        _STORES[application] = _write_store(make(), workspace(spark, name))
     return _STORES[application]
 
 
-def _write_store(spark: SparkSession, sf_dir: str) -> str:
-    folder = workspace(spark, "mail-store")
-
+def _write_store(contents: DataFrame, folder: str) -> str:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        files.create_dir(base, recursive=True)
+        made = set()
         for batch in batches:
-            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with files.open_output_stream(f"{base}/{doc_id}.eml") as out:
+            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = f"{base}/{key}"
+                parent = path.rpartition("/")[0]
+                if parent not in made:
+                    files.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with files.open_output_stream(path) as out:
                     out.write(content)
             yield batch.select([0])
 
-    mail(spark, sf_dir).mapInArrow(write, "msg_id long").write.format("noop").mode("overwrite").save()
+    contents.mapInArrow(write, "key string").write.format("noop").mode("overwrite").save()
     return folder
 
 
