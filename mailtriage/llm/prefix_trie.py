@@ -377,20 +377,23 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 
 
 def _root(convs: DataFrame, facts: DataFrame, kin: DataFrame, ends: DataFrame) -> DataFrame:
-    """The root's row, or none if there is no conversation. Each part is one row of sums."""
-    one = F.lit(1).alias("one")
-    members = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).select("*", one)
-    sums = facts.agg(F.sum("leaf").alias("leaves"), F.sum("own").alias("saved")).select("*", one)
-    below = kin.where("depth = 1").agg(F.count("*").alias("n_children")).select("*", one)
-    here = ends.where("depth = 0").agg(F.max("ends_sha256").alias("ends_sha256")).select("*", one)
-    root = members.join(sums, "one").join(below, "one").join(here, "one").where("n_convs > 0")
+    """The root's row, or none if there is no conversation: four rows of sums, put together."""
+    rows = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
+    for part in (
+        facts.agg(F.sum("leaf").alias("leaves"), F.sum("own").alias("saved")),
+        kin.where("depth = 1").agg(F.count("*").alias("children")),
+        ends.where("depth = 0").agg(F.max("ends_sha256").alias("ends")),
+    ):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    root = rows.agg(*(F.max(c).alias(c) for c in rows.columns)).where("n_convs > 0")
+    zero = F.lit(0).cast("long")
     return root.select(
         "conv_id",
-        F.lit(0).cast("long").alias("depth"),
+        zero.alias("depth"),
         F.lit(None).cast("long").alias("parent_conv_id"),
         "n_convs",
-        "n_children",
-        F.when(F.col("n_children") == 0, 1).otherwise(F.col("leaves")).cast("long").alias("n_leaves"),
-        F.coalesce("saved", F.lit(0)).cast("long").alias("saved_tokens"),
-        F.coalesce("ends_sha256", F.lit(NOTHING)).alias("ends_sha256"),
+        F.col("children").alias("n_children"),
+        F.when(F.col("children") == 0, 1).otherwise(F.col("leaves")).cast("long").alias("n_leaves"),
+        F.coalesce("saved", zero).alias("saved_tokens"),
+        F.coalesce("ends", F.lit(NOTHING)).alias("ends_sha256"),
     )
