@@ -1,11 +1,14 @@
 """Benchmark decontamination with spaced seeds.
 
 Words are runs between white space, in lower case and without ASCII punctuation. A document overlaps an item if, on one
-diagonal, ``WINDOW`` consecutive words agree but for at most ``SUBSTITUTIONS``; an item shorter than the window has
-to occur whole and unchanged, and one with fewer than ``SHORT`` words is not looked for. Two fixed masks of six words each
-ignore the other places of the window; together they hit every such window (a test goes through all patterns of
-substitutions), so no overlap is missed. Hashes of the masked windows of all items are sorted arrays, documents probe
-them in Arrow batches, and around each hit the whole diagonal is compared word by word.
+diagonal, ``WINDOW`` consecutive words agree but for at most ``SUBSTITUTIONS``. An item shorter than the window has to
+occur whole: with one word substituted at most from ``SPACED`` words on, unchanged below. Fewer than ``SHORT`` words are
+everyday phrases, which clean documents hold too: such an item overlaps only a document that has no other words.
+
+Two fixed masks of six words each ignore the other places of the window; together they hit every such window. A mask of
+every other word, laid at an item's first and second word, does so for the short items that bear a substitution (a test
+goes through all patterns of substitutions for both), so no overlap is missed. Hashes of the masked windows of all items
+are sorted arrays, documents probe them in Arrow batches, and around each hit the whole diagonal is compared word by word.
 
 Items are taken in blocks of at most ``most_seeds`` hashes, each broadcast in its turn to a scan of the documents, so
 neither side is shuffled and what is broadcast has that bound.
@@ -34,9 +37,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 13
 SUBSTITUTIONS = 2
+SPACED = 8
 SHORT = 5
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 7, 9, 10))
-_WHOLE = tuple(range(SHORT))  # for items that are shorter than the window
+SHORT_MASK = (0, 2, 4, 6)  # for items from SPACED words up to the window, at their first two words
+_WHOLE = tuple(range(SHORT))  # for items from SHORT words up to SPACED, at their first word
 MOST_SEEDS = 1 << 21
 _CHAINED = 4
 _NO_PUNCTUATION = string.punctuation.encode()
@@ -50,6 +55,20 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(None, _NO_PUNCTUATION).split()
 
 
+def allowance(n: int) -> tuple[int, int]:
+    """The window of an item of ``n`` words, and how many of its words may be others."""
+    return (WINDOW, SUBSTITUTIONS) if n >= WINDOW else (n, int(n >= SPACED))
+
+
+def seeds_of(n: int) -> list[tuple[tuple[int, ...], int | None]]:
+    """The masks for an item of ``n`` words, each with the number of places it is laid at (none: at all)."""
+    if n >= WINDOW:
+        return [(mask, None) for mask in MASKS]
+    if n >= SPACED:
+        return [(SHORT_MASK, 2)]
+    return [(_WHOLE, 1)] if n >= SHORT else []
+
+
 class Seeds:
     """Masked windows of a block of items."""
 
@@ -58,21 +77,23 @@ class Seeds:
         self.ids = [i for i, _ in items]
         self.items = [hashed([words(t)], memo)[0] for _, t in items]
         self.tables = []
-        for mask in (*MASKS, _WHOLE):
-            hashes, owner, place = [], [], []
-            for n, item in enumerate(self.items):
-                if (len(item) >= WINDOW) == (mask != _WHOLE) and len(item) >= SHORT:
-                    own = windows(item, mask)[: None if mask != _WHOLE else 1]
-                    hashes.append(own)
-                    owner.append(np.full(len(own), n))
-                    place.append(np.arange(len(own)))
-            if hashes:
-                values = np.concatenate(hashes)
-                order = np.argsort(values, kind="stable")
-                table = [x[order] for x in (values, np.concatenate(owner), np.concatenate(place))]
-                marks = np.zeros(1 << 20, bool)
-                marks[(values & np.uint64(0xFFFFF)).astype(np.int64)] = True
-                self.tables.append((mask, marks, *table))
+        self.phrases: dict[bytes, list[int]] = {}
+        seeds: dict[tuple, tuple[list, list, list]] = {}
+        for n, item in enumerate(self.items):
+            if 0 < len(item) < SHORT:
+                self.phrases.setdefault(item.tobytes(), []).append(n)
+            for mask, places in seeds_of(len(item)):
+                own = windows(item, mask)[:places]
+                for column, x in zip(
+                    seeds.setdefault(mask, ([], [], [])), (own, np.full(len(own), n), np.arange(len(own))), strict=True
+                ):
+                    column.append(x)
+        for mask, columns in seeds.items():
+            values, owner, place = (np.concatenate(x) for x in columns)
+            order = np.argsort(values, kind="stable")
+            marks = np.zeros(1 << 20, bool)
+            marks[(values & np.uint64(0xFFFFF)).astype(np.int64)] = True
+            self.tables.append((mask, marks, values[order], owner[order], place[order]))
 
     def diagonals(self, values: np.ndarray) -> set[tuple[int, int]]:
         """Item number and shift (place in the text less place in the item) of every hit."""
@@ -91,7 +112,7 @@ class Seeds:
         and end in the text, start in the item, words that agree."""
         item = self.items[n]
         low, high = max(start, shift), min(end, shift + len(item))
-        window, allowed = (WINDOW, SUBSTITUTIONS) if len(item) >= WINDOW else (len(item), 0)
+        window, allowed = allowance(len(item))
         if high - low < window:
             return []
         agree = np.concatenate([[0], np.cumsum(values[low:high] == item[low - shift : high - shift])])
@@ -109,6 +130,14 @@ class Seeds:
     def search(self, batch: list[str | None], memo: WordHashes) -> list[list[dict]]:
         values, starts = hashed([words(t) for t in batch], memo)
         found: list[dict[tuple, dict]] = [{} for _ in batch]
+        if self.phrases:
+            sizes = np.diff(starts)
+            for row in np.flatnonzero((sizes > 0) & (sizes < SHORT)).tolist():
+                end = int(sizes[row])
+                for n in self.phrases.get(values[starts[row] : starts[row + 1]].tobytes(), ()):
+                    found[row][(self.ids[n], 0, end, 0)] = dict(
+                        item_id=self.ids[n], start=0, end=end, item_start=0, matched=end
+                    )
         for n, shift in sorted(self.diagonals(values)):
             # A diagonal may run through several texts: each that lies under the item is looked at.
             row = max(0, int(np.searchsorted(starts, shift, "right")) - 1)

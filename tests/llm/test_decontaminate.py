@@ -19,6 +19,14 @@ def test_masks_hit_every_window():
         ), lost
 
 
+def test_short_mask_hits_every_short_item():
+    for n in range(d.SPACED, d.WINDOW):
+        ((mask, places),) = d.seeds_of(n)
+        for lost in range(n):
+            assert any(lost not in {shift + place for place in mask} for shift in range(places)), (n, lost)
+        assert places - 1 + max(mask) < n
+
+
 def brute_force(docs, items):
     """Documents and items that have a window in common."""
     found = set()
@@ -26,9 +34,13 @@ def brute_force(docs, items):
         own = d.words(text)
         for item_id, item in items:
             words = d.words(item)
-            window, allowed = (d.WINDOW, d.SUBSTITUTIONS) if len(words) >= d.WINDOW else (len(words), 0)
-            if item_id is None or len(words) < d.SHORT:
+            if item_id is None or not words:
+                continue
+            if len(words) < 5:
+                if own == words:
+                    found.add((doc_id, item_id))
                 continue
+            window, allowed = (13, 2) if len(words) >= 13 else (len(words), int(len(words) >= 8))
             for i in range(len(own) - window + 1):
                 if any(
                     sum(a != b for a, b in zip(own[i : i + window], words[j : j + window], strict=True)) <= allowed
@@ -60,9 +72,39 @@ def planted(spark):
             start = random.randint(0, max(0, len(passage) - 13))
             own[5:5] = [w.upper() + random.choice(["", ",", "!!"]) for w in passage[start:]]
         docs.append((i, " ".join(own)))
+    short = random.Random(7)
+    for i, n in enumerate([2, 4, 6, 7, 8, 8, 10, 11, 12, 12]):
+        passage = short.choices(vocabulary, k=n)
+        items.append((200 + i, " ".join(passage)))
+        docs.append((1000 + i, " ".join(passage)))
+        for j in range(n):
+            other = [*passage[:j], "Other", *passage[j + 1 :]]
+            docs.append((2000 + 100 * i + j, " ".join(["so", *other, "it"])))
     return docs, items
 
 
+def test_short_items(spark):
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "one two three four five six"), (3, "lazy dog sleeps")]
+    docs = [
+        (1, "so alpha beta gamma delta OTHER zeta eta theta it is"),
+        (2, "so alpha beta gamma other other zeta eta theta it is"),
+        (3, "alpha beta gamma delta epsilon zeta eta"),
+        (4, "see: one two three four five six."),
+        (5, "one two three 4 five six"),
+        (6, "Lazy dog sleeps!"),
+        (7, "the lazy dog sleeps"),
+        (8, None),
+        (9, "Other beta gamma delta epsilon zeta eta theta"),
+        (10, "alpha beta gamma delta epsilon zeta eta other"),
+    ]
+    found = d.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string").coalesce(1),
+        spark.createDataFrame([*items, (4, "")], "item_id long, text string"),
+    )
+    assert pairs(found) == {(1, 1), (4, 2), (6, 3), (9, 1), (10, 1)} == brute_force(docs, items)
+    assert {(r.start, r.end, r.matched) for r in found.collect() if r.doc_id in (1, 6)} == {(1, 9, 7), (0, 3, 3)}
+
+
 @pytest.mark.parametrize("most", [300, d.MOST_SEEDS])
 def test_against_brute_force(spark, planted, most):
     docs, items = planted
