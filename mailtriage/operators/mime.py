@@ -17,10 +17,12 @@ from email.message import EmailMessage
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailtriage.operators.headers import header_scan
+
 # Executors need no installed copy of this package: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -62,6 +64,7 @@ _PARTS_ARROW = pa.list_(
     )
 )
 _FLUSH_BYTES = 32 << 20
+_SCANNED = (None, None, None, None)  # a mail whose columns the JVM has found already
 _CACHED_HEADERS = 4096
 _CACHED_HEADER_LENGTH = 512
 # Header values that parsing would give back as they are (a boundary parameter: with the same meaning).
@@ -89,9 +92,13 @@ def parse_mail(
 
     One row per mail in, one row per mail out: a mail and its parts are never shuffled. With
     ``recipients``, mail to none of them is left out and read no further than its headers; mail whose
-    recipients cannot be read stays, with an error. Without ``with_texts`` no body is built or sent."""
+    recipients cannot be read stays, with an error. Without ``with_texts`` no body is built or sent.
+
+    Plain headers are read in the JVM (see ``headers``): with ``recipients``, mail to others whose headers are plain
+    ends there; if only headers are asked for, undivided mail with plain headers sends no content to Python."""
     keep = list(keep)
     wanted = frozenset(r.lower() for r in recipients)
+    headers_only = not with_texts and not with_source
     added = [
         T.StructField("parts", PARTS),
         T.StructField("to_addrs", T.ArrayType(T.StringType())),
@@ -99,16 +106,33 @@ def parse_mail(
         T.StructField("error", T.StringType()),
     ]
     picked = mail.select(*keep, F.col(content_col).alias("_content"))
+    if wanted or headers_only:
+        # A generator of one row, so that the scan is evaluated once and not in the filter again.
+        picked = picked.select("*", F.inline(F.array(F.struct(header_scan(F.col("_content")).alias("_scan")))))
+    if wanted:
+        told = F.array(*(F.lit(r) for r in sorted(wanted)))
+        picked = picked.where(F.col("_scan").isNull() | F.arrays_overlap("_scan.to_addrs", told))
+    if headers_only:
+        undivided = F.col("_scan.content_type").isNotNull()
+        known = F.when(undivided, F.col("_scan")).alias("_scan")
+        picked = picked.select(*keep, known, F.when(~F.coalesce(undivided, F.lit(False)), F.col("_content")).alias("_content"))
+        keep.append("_scan")
+    else:
+        picked = picked.select(*keep, "_content")
     schema = T.StructType([*(picked.schema[name] for name in keep), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = _caching_policy()
         for batch in batches:
             content = batch.column(len(keep))
+            scanned = batch.column(len(keep) - 1).is_valid() if headers_only else None
             taken, pending, size = [], [], 0
             for row in range(batch.num_rows):
                 raw = content[row].as_py()
-                found = _read_mail(raw, rules, with_source, wanted, with_texts)
+                if scanned is not None and scanned[row].as_py():
+                    found = _SCANNED
+                else:
+                    found = _read_mail(raw, rules, with_source, wanted, with_texts)
                 if found is not None:
                     taken.append(row)
                     pending.append(found)
@@ -118,7 +142,31 @@ def parse_mail(
                     yield _to_batch(keep, kept, pending)
                     taken, pending, size = [], [], 0
 
-    return picked.mapInArrow(run, schema)
+    parsed = picked.mapInArrow(run, schema)
+    if not headers_only:
+        return parsed
+    scan = F.col("_scan")
+    return parsed.select(
+        *keep[:-1],
+        F.when(scan.isNotNull(), F.array(_only_part(scan))).otherwise(F.col("parts")).alias("parts"),
+        F.when(scan.isNotNull(), scan["to_addrs"]).otherwise(F.col("to_addrs")).alias("to_addrs"),
+        "source",
+        "error",
+    )
+
+
+def _only_part(scan: Column) -> Column:
+    """The part row of an undivided mail, without its text, from its scanned headers."""
+    known = {
+        "visit_no": F.lit(0),
+        "message_no": F.lit(0),
+        "is_root": F.lit(True),
+        "in_eml": F.lit(False),
+        "is_multipart": F.lit(False),
+        "body_pref": F.lit(False),
+        **{name: scan[name] for name in ("content_type", "n_headers", "from", "to", "subject")},
+    }
+    return F.struct(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PART.fields))
 
 
 def explode_parts(parsed: DataFrame, keep: Sequence[str] = ("msg_id",)) -> DataFrame:
