@@ -3,10 +3,13 @@
 1. Every row goes into the index once: its own columns, a row number, the 64-bit key of its normalised text
    (ASCII white space deleted) and the text's SHA-256, written to the shared folder.
 2. The directory starts at the depth at which an average bucket is full and doubles while a bucket holds more
-   than ``capacity`` distinct keys; a bucket that need not split is shared by the slots below its prefix.
-3. Owner tasks take the entries of whole buckets. Rows of one key form a chain whose texts are compared byte by
-   byte: they are grouped by the text itself. Spark folds the copies before the shuffle, so a text that a third
-   of all rows hold reaches its owner as one entry for each map task.
+   than ``capacity`` distinct keys; a bucket that need not split is shared by the slots below its prefix. It doubles
+   up to ``DEEPEST``, so that it has 2^18 slots at most and can be sent to every task; buckets of a table too large
+   for that hold more keys.
+3. Each entry looks its bucket up in the directory and is dealt by it: one owner task takes whole buckets. Rows of one
+   key form a chain there whose texts are compared byte by byte: they are grouped by the text itself.
+4. A key that fills more than a bucket with its rows and holds more than one part in ``MOST_HOT`` of all text (so there
+   are fewer than ``MOST_HOT`` of them) has its copies folded in each task before they are sent to their owner.
 
 Null texts are empty texts, and all empty texts are equal. Of equal texts the row with the most code points in its
 original text stays, then the one with the smallest id, a missing id last; of rows that repeat both, the first one
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 from mailtriage.llm.tables import written
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
-CAPACITY = 4096
+CAPACITY = 1024
+DEEPEST = 18
+MOST_HOT = 1024
 _LAST_ID = 2**63 - 1
 
 
@@ -50,17 +55,22 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return written(rows, "dedup-index")
 
 
-def build_directory(index: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+def count_keys(index: DataFrame) -> DataFrame:
+    """``key``, its ``rows``, and ``size``: the code points of their texts and one for each row."""
+    counts = index.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.col("points") + 1).alias("size"))
+    return written(counts, "dedup-keys")
+
+
+def build_directory(keys: DataFrame, capacity: int = CAPACITY, deepest: int = DEEPEST) -> tuple[DataFrame, int]:
     """``slot, bucket, depth`` for every slot in use, and the directory's depth. ``bucket`` is the prefix of
     ``depth`` bits that the slots of one bucket share."""
-    keys = written(index.select("key").distinct(), "dedup-keys")
-    first = depth = max(0, math.floor(math.log2(max(1, keys.count()) / capacity)))
+    first = depth = min(deepest, max(0, math.floor(math.log2(max(1, keys.count()) / capacity))))
     levels = []
     while True:
         level = keys.groupBy(_slot(F.col("key"), depth).alias("slot")).agg(F.count("*").alias("n"))
         levels.append(level)
         fullest = level.agg(F.max("n")).first()[0] or 0
-        if fullest <= capacity or depth == 62:
+        if fullest <= capacity or depth == deepest:
             break
         depth += 1
     slots = levels[-1].select("slot")
@@ -75,25 +85,43 @@ def build_directory(index: DataFrame, capacity: int = CAPACITY) -> tuple[DataFra
     return slots.select("slot", bucket.alias("bucket"), local.alias("depth")), depth
 
 
+def hot_keys(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The keys, fewer than ``MOST_HOT``, whose copies are folded before they are sent."""
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    return keys.where((F.col("rows") > capacity) & (F.col("size") > total / MOST_HOT)).select("key")
+
+
+def _chains(entries: DataFrame) -> DataFrame:
+    """An entry for each distinct text of a bucket: its greatest ``place``, and how many rows hold it."""
+    return (
+        entries.groupBy("bucket", "depth", "key", "sha", "bytes")
+        .agg(F.max("place").alias("place"), F.count("*").alias("group_size"))
+        .drop("bytes")
+    )
+
+
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
 ) -> DataFrame:
     """One row per input row: ``row``, ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, and the
     ``bucket`` of the index with its ``depth``."""
     index = build_index(docs, id_col, text_col)
-    directory, depth = build_directory(index, capacity)
+    keys = count_keys(index)
+    directory, depth = build_directory(keys, capacity)
+    hot = F.broadcast(written(hot_keys(keys, capacity), "dedup-hot"))
     # One number for "most code points, then least id": fixed in width, so that Spark's hash aggregation can hold it.
     shift = F.lit("1" + "0" * 20).cast("decimal(21,0)")
     order = F.col("points").cast("decimal(10,0)") * shift - F.coalesce("doc_id", F.lit(_LAST_ID)).cast("decimal(20,0)")
-    chains = (
-        index.select("key", "sha", normalised(F.col(f"row.{text_col}")).alias("bytes"), order.alias("place"))
-        .groupBy("key", "sha", "bytes")
-        .agg(F.max("place").alias("place"), F.count("*").alias("group_size"))
-        .drop("bytes")
-    )
-    entries = written(
-        chains.join(directory, _slot(F.col("key"), depth) == F.col("slot")).drop("slot"), "dedup-entries"
-    )
+    directory = F.broadcast(written(directory, "dedup-directory"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(directory, _slot(F.col("key"), depth) == F.col("slot"))
+        bytes_ = normalised(F.col(f"row.{text_col}")).alias("bytes")
+        return rows.select("bucket", "depth", "key", "sha", bytes_, order.alias("place"))
+
+    owned = placed(index.join(hot, "key", "left_anti")).repartition("bucket", "depth")
+    folded = placed(index.join(hot, "key", "left_semi"))
+    entries = written(_chains(owned).unionByName(_chains(folded)), "dedup-entries")
     rows = index.select("uid", "doc_id", "key", "sha", order.alias("place"))
     best = (
         rows.join(entries.select("key", "sha", "place"), ["key", "sha", "place"])

@@ -61,7 +61,7 @@ def test_empty_table(no_rows):
 def test_directory_splits_overfull_buckets(spark, capacity):
     rows = spark.range(300).selectExpr("id % 200 as doc_id", "concat('text ', id % 150) as text")
     index = x.build_index(rows)
-    directory, depth = x.build_directory(index, capacity)
+    directory, depth = x.build_directory(x.count_keys(index), capacity)
     placed = {r["slot"]: (r["bucket"], r["depth"]) for r in directory.collect()}
     keys = [r["key"] & (2**64 - 1) for r in index.select("key").distinct().collect()]
     held: dict = {}
@@ -73,6 +73,47 @@ def test_directory_splits_overfull_buckets(spark, capacity):
     result(x.exact_duplicates(rows, capacity=capacity), [(r.doc_id, r.text) for r in rows.collect()])
 
 
+def test_directory_stays_within_its_bound(spark):
+    rows = spark.range(300).selectExpr("id as doc_id", "concat('text ', id % 150) as text")
+    keys = x.count_keys(x.build_index(rows))
+    directory, depth = x.build_directory(keys, capacity=1, deepest=3)
+    assert depth == 3 and directory.count() <= 8
+    assert {r.depth for r in directory.collect()} == {3}
+
+
+def test_a_split_moves_keys_to_other_owners(spark):
+    rows = spark.range(400).selectExpr("id as doc_id", "concat('text ', id % 250) as text")
+    few, many = (x.exact_duplicates(rows, capacity=c).select("text_sha256", "bucket", "depth") for c in (1000, 16))
+    assert {(r.bucket, r.depth) for r in few.collect()} == {(0, 0)}
+    owners = {r.text_sha256: (r.bucket, r.depth) for r in many.collect()}
+    assert len(set(owners.values())) > 8
+
+
+def test_hot_keys_are_folded_first_and_others_dealt_by_bucket(spark):
+    texts = "case when id % 3 = 0 then 'hot text' when id % 3 = 1 then concat('pair ', id div 6) else concat('one ', id) end"
+    rows = spark.range(3000).selectExpr("id as doc_id", f"{texts} as text")
+    keys = x.count_keys(x.build_index(rows))
+    assert x.hot_keys(keys, 64).count() == 1 and x.hot_keys(keys, 1000).count() == 0
+    result(x.exact_duplicates(rows, capacity=64), [(r.doc_id, r.text) for r in rows.collect()])
+
+
+def test_a_bucket_has_one_owner(spark, monkeypatch):
+    plans = {}
+    written = x.written
+
+    def record(table, name):
+        plans[name] = table._jdf.queryExecution().executedPlan().toString()
+        return written(table, name)
+
+    monkeypatch.setattr(x, "written", record)
+    rows = spark.range(400).selectExpr("id as doc_id", "concat('text ', id % 250) as text")
+    x.exact_duplicates(rows, capacity=16)
+    plan = plans["dedup-entries"]
+    dealt = [re.sub(r"#\d+L?", "", d) for d in re.findall(r"Exchange hashpartitioning\((.*), \d+\), \w+", plan)]
+    # Texts cross once, to their bucket's owner or, already folded, by the text itself.
+    assert sorted(dealt) == ["bucket, depth", "bucket, depth, key, sha, bytes"]
+
+
 def test_query_is_native(spark):
     plan = op9_exact_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
