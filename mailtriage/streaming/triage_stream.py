@@ -13,6 +13,7 @@ from mailtriage.config import TriageConfig
 from mailtriage.operators.scoring import ScorerFactory
 from mailtriage.plans.outputs import batch_folder, write_outputs
 from mailtriage.plans.triage import decide, decide_light, light_mail, read_mail, read_notified
+from mailtriage.sources.mail import spread
 
 
 def run_of(spark: SparkSession, checkpoint: str) -> str:
@@ -36,7 +37,8 @@ def triage_stream(
     """Start the query. ``arrivals`` is a stream of ``msg_id, content``. ``responses`` is called per
     batch, so that the table is read as it is by then. Without an ``interval`` all mail that is there
     is processed and the query ends. ``tasks`` spreads each batch over that many tasks, for sources
-    whose batches have few splits; without it mail is parsed where it is read.
+    whose batches have few splits; without it mail is parsed where it is read, in no more tasks than
+    :func:`spread` says: a scan of many small objects would start one, with a parser of its own, for every few of them.
 
     A mail without any response row, not even an error, may ``wait`` for that many later batches in the
     ``pending`` table before it is answered without one.
@@ -47,7 +49,8 @@ def triage_stream(
     written. ``run_ts`` dates prompts and tickets; without it a repeated batch is dated anew."""
 
     def assemble(batch: DataFrame) -> DataFrame:
-        return read_mail(batch if tasks is None else batch.repartition(tasks), cfg, id_col)
+        dealt = batch.coalesce(spread(batch.sparkSession)) if tasks is None else batch.repartition(tasks)
+        return read_mail(dealt, cfg, id_col)
 
     return _start(arrivals, assemble, cfg, out, checkpoint, responses, make_scorer, run_ts, interval, id_col, wait)
 

@@ -11,8 +11,10 @@ from mailtriage import TriageConfig
 from mailtriage.operators.report import build_status
 from mailtriage.plans.outputs import read_output, write_outputs
 from mailtriage.plans.triage import decide, land_mail, read_mail, replay, requests_for, triage, triage_notifications
+from mailtriage.sources import mail
 from mailtriage.sources.mail import read_objects, scan_listing, scan_mail, stream_mail
 from mailtriage.sources.notifications import notification
+from mailtriage.streaming import triage_stream as stream_module
 from mailtriage.streaming.triage_stream import triage_stream
 
 CFG = TriageConfig(catch_all="all@example.com", ticket_token="t", ticket_owner="o", ticket_repo="r")
@@ -355,3 +357,25 @@ def test_filters_do_not_repeat_the_selection(spark):
     below_generate = plan.split("Generate")[1]
     assert "Filter" not in below_generate
     assert kept.count() == 1
+
+
+@pytest.fixture
+def file_by_file(spark, tmp_path):
+    """A store of which the scan makes a split of every object."""
+    for i in range(60):
+        (tmp_path / f"m{i}.eml").write_text(mail_of(1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # no more than opening a file counts for
+    yield tmp_path
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_stream_has_no_task_for_every_few_objects(spark, file_by_file, responses, tmp_path_factory, monkeypatch):
+    dealt, read = [], stream_module.read_mail
+    monkeypatch.setattr(stream_module, "read_mail", lambda rows, *more: dealt.append(rows.rdd.getNumPartitions()) or read(rows, *more))
+    out = str(tmp_path_factory.mktemp("dealt"))
+    arrivals = stream_mail(spark, str(file_by_file), root=str(file_by_file))
+    triage_stream(arrivals, CFG, out, f"{out}/checkpoint", responses=lambda _: responses, run_ts=now()).awaitTermination()
+    assert read_output(spark, out, "triage").count() == 60
+    assert len(dealt) == 1 and dealt[0] <= mail.spread(spark)
+    assert int(spark.conf.get(mail.LOOKUP_TASKS)) <= mail.spread(spark)
