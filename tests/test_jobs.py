@@ -359,6 +359,14 @@ def test_filters_do_not_repeat_the_selection(spark):
     assert kept.count() == 1
 
 
+def test_a_replay_opens_its_objects_in_many_tasks(spark, store, responses, big_tables):
+    asked = spark.createDataFrame([("m1.eml",), ("m2.eml",)], "msg_id string")
+    found = replay(scan_listing(spark, str(store), root=str(store)), asked, CFG, responses)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    read = plan.rsplit("MapInArrow", 1)[1]
+    assert f"RoundRobinPartitioning({mail.spread(spark)})" in read.split("LeftSemi")[0]
+
+
 @pytest.fixture
 def file_by_file(spark, tmp_path):
     """A store of which the scan makes a split of every object."""
@@ -370,6 +378,11 @@ def file_by_file(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_a_listing_has_no_task_for_every_few_objects(spark, file_by_file):
+    listing = scan_listing(spark, str(file_by_file), root=str(file_by_file))
+    assert listing.count() == 60 and listing.rdd.getNumPartitions() <= mail.spread(spark)
+
+
 def test_a_stream_has_no_task_for_every_few_objects(spark, file_by_file, responses, tmp_path_factory, monkeypatch):
     dealt, read = [], stream_module.read_mail
     monkeypatch.setattr(stream_module, "read_mail", lambda rows, *more: dealt.append(rows.rdd.getNumPartitions()) or read(rows, *more))
