@@ -63,7 +63,7 @@ _PARTS_ARROW = pa.list_(
         ]
     )
 )
-_FLUSH_BYTES = 32 << 20
+_FLUSH_BYTES = 1 << 20  # of contents whose parts wait as Python objects, or one mail that is larger
 _SCANNED = (None, None, None, None)  # a mail whose columns the JVM has found already
 _CACHED_HEADERS = 4096
 _CACHED_HEADER_LENGTH = 512

@@ -7,6 +7,7 @@ from email import message_from_bytes, policy
 import pytest
 from pyspark.sql import functions as F
 
+from mailtriage.operators import mime
 from mailtriage.operators.mime import _PLAIN_HEADERS, _caching_policy, explode_parts, parse_mail
 from mailtriage.operators.selection import assemble_mail, select_original, text_dump
 
@@ -308,3 +309,17 @@ def test_parts_table(spark):
     ]
     chosen = select_original(parse_mail(rows)).select(F.col("chosen.message_no")).first()
     assert chosen[0] == 2
+
+
+def test_few_contents_wait_as_objects(spark, monkeypatch):
+    to_batch = mime._to_batch
+
+    def checked(names, kept, rows):
+        assert sum(len(part.get("raw_text") or "") for parts, *_ in rows for part in parts) < 2 << 20
+        return to_batch(names, kept, rows)
+
+    monkeypatch.setattr(mime, "_to_batch", checked)
+    rows = [(i, (head(f"u{i}") + "x" * 100_000).encode()) for i in range(40)]
+    parsed = parse_mail(spark.createDataFrame(rows, "msg_id int, content binary").coalesce(1))
+    got = {r.msg_id: r.n for r in parsed.select("msg_id", F.length(F.col("parts")[0]["raw_text"]).alias("n")).collect()}
+    assert got == dict.fromkeys(range(40), 100_000)
