@@ -2,11 +2,13 @@
 
 High-recall generators propose spans that may overlap. Four base kinds have strict forms and are always found; all
 other proposals are judged by gradient-boosted trees on features of their format and context. The trees are trained
-on proposals from a bounded, documented share of the documents (about ``sample_docs``, chosen by a hash of the id):
-proposals that a strict form accepts are the positive examples, those that every strict form refuses the negative
-ones. Whether a form accepts is no feature; the trees see lengths, digit and separator counts, neighbours and words
-nearby. For each generator the threshold is the lowest score at which, on held-out proposals, at least ``precision``
-of those above it are positive; a generator without such a score, or a sample with a single class, adds no spans.
+on the proposals of all documents but every fourth, by a hash of the id: proposals that a strict form accepts are the
+positive examples, those that every strict form refuses the negative ones. Whether a form accepts is no feature; the
+trees see lengths, digit and separator counts, neighbours and words nearby. For each generator the threshold is the
+lowest score at which, on all proposals of the held-out documents, at least ``precision`` of those above it are
+positive; a generator without such a score, or training proposals of a single class, add no spans. Where a tree may cut a
+feature with more than 32 values is left to Spark's ML library, which places its bins by 10,000 proposals or more; all
+proposals are counted in them.
 
 A null text is empty and has no spans. Every row gives one row, repeated rows alike; a null id is carried along. An
 empty table gives an empty result. Spans are in code points with the end exclusive. Extra columns are not read.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailtriage.llm.tables import fold_column, texts, written
@@ -33,9 +35,8 @@ from mailtriage.llm.tables import fold_column, texts, written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 20_000
-MOST_PROPOSALS = 50_000
 PRECISION = 0.98
+SCORE_RANGES = 256
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a match cannot begin inside a run of digits
@@ -170,10 +171,26 @@ def _nodes(root: object) -> list[tuple[int, float, int, int, float]]:
     return rows
 
 
+def lowest_scores(judged: DataFrame, precision: float) -> dict[int, float]:
+    """For each generator of ``generator, label, score`` that has one, the lowest score at which ``precision`` of those not
+    below it are positive. The running sums have two levels, over ranges of scores and within them."""
+    equal = judged.groupBy("generator", "score").agg(F.count("*").alias("n"), F.sum("label").alias("good"))  # are chosen together
+    equal = equal.withColumn("range", F.floor(F.col("score") * SCORE_RANGES))
+    above = Window.partitionBy("generator").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = equal.groupBy("generator", "range").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).select(
+        "generator", "range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "good"))
+    )
+    within = Window.partitionBy("generator", "range").orderBy(F.desc("score"))
+    held = equal.select("*", F.sum("n").over(within).alias("n_here"), F.sum("good").over(within).alias("good_here"))
+    share = (F.col("good_above") + F.col("good_here")) / (F.col("n_above") + F.col("n_here"))
+    found = held.join(ranges, ["generator", "range"]).where(share >= precision)
+    return {r.generator: r.score for r in found.groupBy("generator").agg(F.min("score").alias("score")).collect()}
+
+
 def train(
-    rows: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION, rounds: int = 12, depth: int = 3
+    rows: DataFrame, precision: float = PRECISION, rounds: int = 12, depth: int = 3
 ) -> tuple[Trees | None, list[float]]:
-    """The trees and each generator's threshold, from at most ``MOST_PROPOSALS`` proposals."""
+    """The trees and each generator's threshold, from the proposals of all rows."""
     schema = "doc_id long, generator int, label double, features array<double>"
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,45 +210,39 @@ def train(
                 names=["doc_id", "generator", "label", "features"],
             )
 
-    most = rows.count()
-    share = min(1.0, sample_docs / max(1, most))
-    at = F.xxhash64(F.coalesce("doc_id", F.lit(-1))).bitwiseAND(0xFFFFFF) / F.lit(float(1 << 24))
-    sample = written(rows.where(at < share).mapInArrow(propose, schema).limit(MOST_PROPOSALS), "pii-sample")
+    proposed = written(rows.mapInArrow(propose, schema), "pii-proposals")
     held = fold_column(F.col("doc_id"), 4) == 0
-    fit, check = sample.where(~held), sample.where(held)
+    fit, check = proposed.where(~held), proposed.where(held)
     classes = {r.label for r in fit.select("label").distinct().collect()}
     if len(classes) < 2:
         return None, [2.0] * len(GENERATORS)
     data = fit.select("label", array_to_vector("features").alias("features"))
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, subsamplingRate=1.0).fit(data)
     trees = Trees([(w, _nodes(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)])
-    judged = check.select("generator", "label", "features").toArrow()
-    generator = judged.column("generator").to_numpy()
-    label = judged.column("label").to_numpy()
-    values = np.array(judged.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
-    score = trees.score(values)
-    thresholds = []
-    for n in range(len(GENERATORS)):
-        own = np.flatnonzero(generator == n)
-        own = own[np.argsort(-score[own], kind="stable")]
-        good = np.cumsum(label[own]) / np.arange(1, len(own) + 1)
-        ends = np.append(np.diff(score[own]) < 0, True)[: len(own)]  # equal scores are chosen together
-        last = np.flatnonzero((good >= precision) & ends)
-        thresholds.append(float(score[own][last[-1]]) if len(last) else 2.0)
-    return trees, thresholds
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array(batch.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("generator"), batch.column("label"), pa.array(trees.score(values), pa.float64())],
+                names=["generator", "label", "score"],
+            )
+
+    judged = check.select("generator", "label", "features").mapInArrow(judge, "generator int, label double, score double")
+    lowest = lowest_scores(judged, precision)
+    return trees, [lowest.get(n, 2.0) for n in range(len(GENERATORS))]
 
 
 def find_personal_data(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sample_docs: int = SAMPLE_DOCS,
     precision: float = PRECISION,
 ) -> DataFrame:
     """``doc_id`` and ``found``, an array of ``kind, start, end, base, score``: base spans by kind and start, then
     the chosen proposals that are no base span."""
     rows = texts(docs, id_col, text_col)
-    trees, thresholds = train(rows, sample_docs, precision)
+    trees, thresholds = train(rows, precision)
     span = pa.struct(
         [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("score", pa.float64())]
     )

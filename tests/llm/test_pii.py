@@ -84,3 +84,25 @@ def test_awkward_rows(awkward, no_rows):
 def test_redaction():
     assert pii.redact("abcdefgh", [(4, 6), (1, 3), (2, 5)]) == "a[PRIVATE]gh"
     assert pii.redact("abc", []) == "abc"
+
+
+def test_all_proposals_count(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(pii, "written", lambda table, name: counted.append(table.count()) or table)
+    docs = spark.range(60_000).selectExpr("id as doc_id", "'call +1 (212) 555-0182' as text")
+    pii.train(pii.texts(docs))
+    assert counted == [60_000]
+
+
+def test_lowest_scores_against_a_plain_search(spark):
+    random.seed(5)
+    rows = [(g, float(random.random() < s), s) for g in (0, 2) for s in random.choices([0.0, 1.0, *(i / 7 for i in range(8)), *(i / 997 for i in range(997))], k=400)]
+    rows += [(1, 0.0, 0.5)] * 3
+    judged = spark.createDataFrame(rows, "generator int, label double, score double").repartition(3)
+    for precision in (0.5, 0.8, 0.95):
+        want = {}
+        for g, _, s in rows:
+            above = [label for h, label, x in rows if h == g and x >= s]
+            if sum(above) / len(above) >= precision:
+                want[g] = min(want.get(g, s), s)
+        assert pii.lowest_scores(judged, precision) == want
