@@ -19,6 +19,9 @@ from mailtriage.templates import fill
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+FEWEST_MARKS = 1 << 16  # bits
+MOST_MARKS = 1 << 26
+
 # A scorer takes the JSON request of one message and returns the JSON body of the model's response. Its factory
 # gets the configured model id, runs once per task, and may be called by several threads' scorers at a time.
 Scorer = Callable[[str], str]
@@ -67,6 +70,22 @@ def single_responses(responses: DataFrame, on: str = "msg_id") -> DataFrame:
     return folded.select(on, "_best.body", "_best.error_code")
 
 
+def responses_among(responses: DataFrame, ids: DataFrame, on: str = "msg_id") -> DataFrame:
+    """The responses to the messages in ``ids``, and a few others: those whose id falls on a marked bit of a map that
+    the ids mark. Bodies that a batch does not ask for are dropped where they are read, before any shuffle. The map has
+    sixteen bits an id, up to ``MOST_MARKS``, which bounds the broadcast; beyond that more is let through, never less."""
+    n = ids.count()
+    marks = min(MOST_MARKS, max(FEWEST_MARKS, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64(on), F.lit(marks)) + 1
+    marked = ids.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit"))
+    maps = marked.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    asked = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    found = responses.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket")
+    return found.where(asked).select(*responses.columns)
+
+
 def join_responses(mail: DataFrame, responses: DataFrame, on: str = "msg_id", unique: bool = False) -> DataFrame:
     """Adds ``body`` and ``error_code`` from a table of responses; null where there is none. Project
     ``mail`` to the columns still needed first: they go through the shuffle. Which side is broadcast,

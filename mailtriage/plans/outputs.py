@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from mailtriage.config import TriageConfig
 from mailtriage.operators.report import build_outbox, build_status, build_tickets
 from mailtriage.plans.commits import Committed, commit, committed, delete, size_of
+from mailtriage.sources.workspace import shuffles_removed
 
 TABLES = ("triage", "outbox", "tickets", "status")
 FILE_BYTES = 128 << 20
@@ -53,7 +54,8 @@ def write_outputs(
 
     def write(table: str, rows: DataFrame) -> None:
         rows = rows.withColumns({"run": F.lit(run), "batch_id": F.lit(int(batch)).cast("long")})
-        rows.write.parquet(folders[table])
+        with shuffles_removed(rows.sparkSession):
+            rows.write.parquet(folders[table])
         schemas[table] = rows.schema.json()
 
     seen = Observation()

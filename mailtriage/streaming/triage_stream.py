@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mailtriage.config import TriageConfig
-from mailtriage.operators.scoring import ScorerFactory
+from mailtriage.operators.scoring import ScorerFactory, responses_among
 from mailtriage.plans.outputs import batch_folder, write_outputs
 from mailtriage.plans.triage import decide, decide_light, light_mail, read_mail, read_notified
 from mailtriage.sources.mail import spread
@@ -74,12 +74,13 @@ def event_stream(
     id and the JSON text. The objects of a batch are opened by the paths that ``locate`` makes of bucket and key, in
     tasks; no store is listed, and what was there before the events is not touched. Every event has a row, as every
     notification is acted on: an object told of twice is triaged twice, an event that cannot be read or whose object
-    cannot is an error with its reason. A batch that is repeated replaces its rows."""
+    cannot is an error with its reason. A batch that is repeated replaces its rows. Of the ``responses`` only those that
+    a batch may ask for are shuffled: a stream of many batches does not move the whole table for each."""
 
     def assemble(batch: DataFrame) -> DataFrame:
         return read_notified(batch, cfg, locate, id_col, event_col, tasks)
 
-    return _start(events, assemble, cfg, out, checkpoint, responses, make_scorer, run_ts, interval, id_col, wait)
+    return _start(events, assemble, cfg, out, checkpoint, responses, make_scorer, run_ts, interval, id_col, wait, True)
 
 
 def _start(
@@ -94,7 +95,9 @@ def _start(
     interval: str | None,
     id_col: str,
     wait: int,
+    light_source: bool = False,
 ) -> StreamingQuery:
+    """``light_source``: the ids of a batch can be read again without its mail, to pick the responses it asks for."""
     if (responses is None) == (make_scorer is None):
         raise ValueError("give either a responses table or a scorer")
     if wait and responses is None:
@@ -106,6 +109,8 @@ def _start(
         name = run_of(spark, checkpoint)
         if not wait:
             table = None if responses is None else responses(spark)
+            if table is not None and light_source:
+                table = responses_among(table, batch.select(id_col), id_col)
             decided = decide(assemble(batch), cfg, table, make_scorer, F.to_date(now), id_col)
             write_outputs(decided, cfg, out, now, name, batch_id, id_col=id_col)
             return
@@ -120,7 +125,7 @@ def _start(
         due = F.col("error").isNotNull() | (F.col("waited") >= wait)
         known = table.select(id_col).distinct()
         ready = light.where(due).unionByName(light.where(~due).join(known, id_col, "left_semi"))
-        decided = decide_light(ready, cfg, table, id_col)
+        decided = decide_light(ready, cfg, responses_among(table, light.select(id_col), id_col), id_col)
         folders = write_outputs(decided, cfg, out, now, name, batch_id, id_col=id_col)
         # What is still open goes by what was written: a response that came meanwhile loses no mail.
         done = spark.read.parquet(folders["triage"]).select(id_col)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import shutil
+import time
 from pathlib import Path
 
 import pytest
@@ -15,8 +16,9 @@ from mailtriage.operators.report import build_status
 from mailtriage.plans import outputs
 from mailtriage.plans.commits import commit, committed
 from mailtriage.plans.outputs import clear_replaced, compact, read_counts, read_output, write_outputs
-from mailtriage.plans.triage import decide, read_notified, triage
+from mailtriage.plans.triage import decide, decide_light, read_notified, triage
 from mailtriage.sources.notifications import notification
+from mailtriage.streaming import triage_stream
 from mailtriage.streaming.triage_stream import event_stream
 
 
@@ -152,6 +154,38 @@ def test_events_as_a_stream(spark, responses, tmp_path):
     assert "binaryFile" not in plan and "MapInArrow" in plan
 
 
+def test_a_batch_of_events_moves_only_its_own_responses(spark, tmp_path, monkeypatch):
+    told, moved = tmp_path / "events", []
+    told.mkdir()
+    for i in range(4):
+        (told / f"{i}.json").write_text(json.dumps({"msg_id": i, "event": event(spark, "gone")}))
+    answers = spark.range(5000).selectExpr("id as msg_id", "repeat('x', 2000) as body", "string(null) as error_code")
+
+    def noted(assembled, cfg, responses, *rest):
+        moved.append(responses.count())
+        return decide(assembled, cfg, responses, *rest)
+
+    def shuffled():  # bytes that are on disk
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        files = [found.apply(i) for i in range(found.size())]
+        return sum(f.length() for f in files if str(f.getName()).startswith("shuffle_"))
+
+    monkeypatch.setattr(triage_stream, "decide", noted)
+    events = spark.readStream.schema("msg_id long, event string").option("maxFilesPerTrigger", 2).json(str(told))
+    out = str(tmp_path / "out")
+    event_stream(events, CFG, lambda b, key: key, out, str(tmp_path / "c"), responses=lambda _: answers, run_ts=now()).awaitTermination()
+    assert len(moved) == 2 and all(2 <= n < 100 for n in moved)
+    assert read_output(spark, out, "triage").count() == 4
+    kept = shuffled()
+    responses = spark.range(3000).selectExpr("id as msg_id", "repeat(uuid(), 50) as body", "string(null) as error_code")
+    mail = spark.range(3000).selectExpr("id as msg_id", "'a' reply_to", "'s' subject", "string(null) ticket_text", "string(null) error")
+    write_outputs(decide_light(mail, CFG, responses), CFG, out, now(), "again", 0)
+    until = time.time() + 20
+    while shuffled() > kept + 10000 and time.time() < until:  # what the write has shuffled goes with it
+        time.sleep(0.2)
+    assert shuffled() <= kept + 10000
+
+
 def test_late_responses_to_events(spark, responses, tmp_path):
     told = tmp_path / "events"
     told.mkdir()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from mailtriage import TriageConfig
@@ -70,6 +71,21 @@ def test_repeated_responses_give_one_answer(spark):
     assert got == [(1, "b", None), (2, None, "Throttled"), (3, "hot", None), (4, None, None)]
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("most", [1 << 16, 1 << 26])
+def test_responses_that_nobody_asks_for_are_dropped(spark, monkeypatch, kind, most):
+    monkeypatch.setattr(sc, "MOST_MARKS", most)
+    rows = spark.range(40000).selectExpr(f"cast(id as {kind}) msg_id", "cast(id as string) body", "string(null) error_code")
+    rows = rows.union(rows.where("msg_id % 100 = 7")).union(spark.sql(f"select cast(null as {kind}), 'x', string(null)"))
+    ids = spark.range(30000, 50000, 10).selectExpr(f"cast(id as {kind}) msg_id").repartition(3)
+    found = sc.responses_among(rows, ids.union(ids))
+    assert found.columns == rows.columns
+    asked = rows.join(ids.distinct(), "msg_id", "left_semi")
+    assert asked.count() == 1000 and asked.exceptAll(found).count() == 0
+    assert found.count() < 6000
+    assert sc.responses_among(rows, ids.limit(0)).count() == 0
+
+
 def test_scorer_is_made_once_per_task(spark, tmp_path):
     log = str(tmp_path)
 
