@@ -392,3 +392,16 @@ def test_a_stream_has_no_task_for_every_few_objects(spark, file_by_file, respons
     assert read_output(spark, out, "triage").count() == 60
     assert len(dealt) == 1 and dealt[0] <= mail.spread(spark)
     assert int(spark.conf.get(mail.LOOKUP_TASKS)) <= mail.spread(spark)
+
+
+def test_a_stream_takes_a_large_store_in_batches(spark, store, responses, tmp_path, monkeypatch):
+    """Without being told to: the driver holds what it has looked up of one batch, not of the whole store."""
+    assert 0 < mail.BATCH_OBJECTS <= 1 << 17
+    monkeypatch.setattr(mail.stream_mail, "__defaults__", (*mail.stream_mail.__defaults__[:-1], 4))
+    out, n = str(tmp_path / "out"), len(list(store.iterdir()))
+    arrivals = stream_mail(spark, str(store), root=str(store))
+    triage_stream(arrivals, CFG, out, str(tmp_path / "c"), responses=lambda _: responses, run_ts=now()).awaitTermination()
+    found = read_output(spark, out, "triage")
+    assert found.count() == found.select("msg_id").distinct().count() == n
+    assert found.select("batch_id").distinct().count() == -(-n // 4) > 1
+    assert spark.conf.get(mail.LOOKUP_CACHE) == "0"
